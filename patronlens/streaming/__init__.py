@@ -1,0 +1 @@
+"""Intentionally empty: every job this package covers is a batch job."""
