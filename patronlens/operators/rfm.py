@@ -184,6 +184,5 @@ def interpolate(at: Column, xs: Column, ys: Column, parity: bool = False) -> Col
 
 def last_purchase_probability(rfm: DataFrame, today: Column, parity: bool = False) -> DataFrame:
     seconds = F.timestamp_diff("SECOND", F.col("last_purchase_date"), today).cast("double")
-    return rfm.select(
-        "customer_unique_id", seconds.alias("time"), repeat_probability(seconds, parity).alias("probability")
-    )
+    aged = rfm.select("customer_unique_id", seconds.alias("time"))
+    return aged.withColumn("probability", repeat_probability(F.col("time"), parity))
