@@ -94,7 +94,7 @@ class Shop:
             F.col("l_suppkey").alias("seller_id"),
             F.col("l_shipdate").alias("shipping_limit_date"),
             F.col("l_extendedprice").alias("price"),
-            F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("freight_value"),
+            (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
         )
 
     def reviews(self) -> DataFrame:

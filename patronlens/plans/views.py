@@ -46,7 +46,7 @@ FROM (SELECT *, lower(substring(o_orderpriority, 3, 30)) AS kind FROM orders)"""
 
 VIEWS["v_items"] = """
 SELECT CAST(l_linenumber AS BIGINT) AS _row, l_orderkey AS order_id, l_partkey AS product_id, l_suppkey AS seller_id,
-       l_shipdate AS shipping_limit_date, l_extendedprice AS price, round(l_extendedprice * l_tax, 2) AS freight_value
+       l_shipdate AS shipping_limit_date, l_extendedprice AS price, l_extendedprice * l_tax AS freight_value
 FROM lineitem"""
 
 VIEWS["v_reviews"] = """
