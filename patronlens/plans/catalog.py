@@ -1,4 +1,4 @@
 """All registered queries; importing the modules registers them."""
 
-from patronlens.plans import reports, tables  # noqa: F401
+from patronlens.plans import people, reports, tables  # noqa: F401
 from patronlens.plans.registry import ORACLE, QUERIES  # noqa: F401
