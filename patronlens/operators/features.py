@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patronlens import constants as C
 from patronlens.functions.expressions import euclidean, is_one_of, whole_days
 from patronlens.functions.keys import HOT_FLOOR, HOT_SHARE, first_per_key, keep_matching, mark_hot
-from patronlens.functions.order_stats import smallest_by_hash
+from patronlens.functions.order_stats import exact_quantiles, smallest_by_hash
 from patronlens.operators import sessions as S
 from patronlens.session import cut_lineage
 
@@ -240,3 +240,27 @@ def category_shares(rows: DataFrame) -> DataFrame:
     """Rows per category and their share."""
     counts = rows.groupBy("upper_category").agg(F.count(F.lit(1)).alias("count"))
     return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+
+
+def order_gaps(orders: DataFrame, hot_floor: int = HOT_FLOOR, hot_share: float = HOT_SHARE) -> DataFrame:
+    """Seconds since the same person's previous order. Heavy people are split by day, as in ``prefixes``."""
+    pieces = mark_hot(orders.select(PERSON, TIME, ORDER), PERSON, hot_floor, hot_share)
+    pieces = pieces.withColumn("_piece", F.when(F.col("_hot"), F.to_date(TIME)))
+    inside = Window.partitionBy(PERSON, "_piece").orderBy(TIME, ORDER)
+    passed = Window.partitionBy(PERSON).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        pieces.where(F.col("_hot")).groupBy(PERSON, "_piece").agg(F.max(TIME).alias("last"))
+        .select(F.col(PERSON).alias("_who"), F.col("_piece").alias("_when"), F.max("last").over(passed).alias("_carried"))
+    )
+    local = pieces.withColumn("_previous", F.lag(TIME).over(inside))
+    rows = local.join(carry, (F.col(PERSON) == F.col("_who")) & (F.col("_piece") == F.col("_when")), "left")
+    gap = F.timestamp_diff("SECOND", F.coalesce("_previous", "_carried"), F.col(TIME)).cast("double")
+    return rows.select(PERSON, ORDER, gap.alias("gap")).where(F.col("gap").isNotNull())
+
+
+def repeat_knots(orders: DataFrame, knots: int = 28) -> DataFrame:
+    """A repeat-purchase table from the data: gap lengths at evenly spaced shares."""
+    shares = [i / (knots - 1) for i in range(knots)]
+    table = exact_quantiles(order_gaps(orders), "gap", shares)
+    pairs = F.arrays_zip(F.lit(shares).alias("share"), F.col("q").alias("seconds"))
+    return table.select(F.inline(pairs)).toDF("share", "seconds")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patronlens.operators import churn, features, sessions
+from patronlens.operators import churn, cleaning, features, sessions
 from patronlens.plans.registry import query
 from patronlens.plans.tables import centroids
 from patronlens.plans.views import VIEWS
-from patronlens.operators import cleaning
+from patronlens.session import cut_lineage
 
 CATEGORIES = [f"group_{i}" for i in range(9)] + ["miss"]
 _ORDERED = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
@@ -43,9 +43,10 @@ def product_upper(shop):
 
 
 def dataset(shop):
-    return features.order_dataset(
+    """The order dataset, written once because everything built on it reads it several times."""
+    return cut_lineage(features.order_dataset(
         shop.items(), product_upper(shop), shop.sellers(), shop.reviews(), shop.payments(), shop.orders(), shop.customers()
-    )
+    ))
 
 
 def today(shop):
@@ -158,7 +159,7 @@ def _rounded_sessions(df):
 
 
 def year_sessions(shop):
-    return sessions.anchored_sessions(features.split_people(dataset(shop))[1], category_order=CATEGORIES)
+    return cut_lineage(sessions.anchored_sessions(features.split_people(dataset(shop))[1], category_order=CATEGORIES))
 
 
 def repeated(shop):

@@ -11,7 +11,7 @@ from patronlens.plans.driver_tables import Shop
 from patronlens.plans.views import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, person: str = "customer"):
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, person: str = "customer"):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Shop(spark, folder, person))
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            SQL[name] = sql
         return fn
 
     return register

@@ -258,7 +258,7 @@ FROM (SELECT *, kind <> 'Polygon' OR i < max(i) OVER (PARTITION BY vec_id) AS bo
       WHERE i % 2 = 0 AND (kind = 'Polygon' OR ring = 1)) GROUP BY 1, 2"""
 
 
-def _features(shop):
+def features(shop):
     size = F.floor(F.size("embedding") / 2).cast("int")
     vertex = F.transform(
         F.sequence(F.lit(0), size - 1),
@@ -277,7 +277,7 @@ def _features(shop):
 
 @query("state_outlines", "SELECT id, type, CAST(vertices AS INTEGER) AS vertices, round(center_lat, 8) AS center_lat, round(center_lon, 8) AS center_lon FROM v_outlines")
 def _(shop):
-    outlines = territory.state_outlines(_features(shop), step=2)
+    outlines = territory.state_outlines(features(shop), step=2)
     return outlines.select(
         "id", "type", F.size("outline").alias("vertices"),
         F.round("center_lat", 8).alias("center_lat"), F.round("center_lon", 8).alias("center_lon"),
@@ -293,5 +293,5 @@ def _(shop):
     churn = _churn(shop).where(F.col("share").isNotNull())
     names = churn.agg(F.sort_array(F.collect_set("customer_state"))).scalar()
     numbered = churn.withColumn("customer_state", F.array_position(names, F.col("customer_state")) - 1)
-    labelled = territory.labelled_outlines(territory.state_outlines(_features(shop)), numbered)
+    labelled = territory.labelled_outlines(territory.state_outlines(features(shop)), numbered)
     return labelled.select("id", "fired", "overall", "text")
