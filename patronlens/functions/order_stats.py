@@ -28,51 +28,37 @@ def exact_quantiles(
     margin = 4.0 / accuracy
     cuts = [min(max(p + sign * margin, 0.0), 1.0) for p in probs for sign in (-1, 1)]
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.percentile_approx("_v", cuts, accuracy).alias("_cuts")
-    )
-    sketch = sketch.withColumn("_cuts", F.when(F.col("_rows") > 10 * accuracy, F.col("_cuts")))
+    sketch = rows.groupBy(*keys).agg(F.expr(
+        f"IF(count(1) > {10 * accuracy}, percentile_approx(_v, array({', '.join(f'{c!r}D' for c in cuts)}), {accuracy}), NULL)"
+    ).alias("_cuts"))
     if keys:
-        marks = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")
+        marks = sketch.toDF(*[f"_k{i}" for i in range(len(keys))], "_cuts")
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         rows = rows.join(marks, same, "inner").select(*keys, "_v", "_cuts")
     else:
         rows = rows.withColumn("_cuts", sketch.select("_cuts").scalar())
 
-    inside = F.col("_cuts").isNull()
-    for i in range(len(probs)):
-        inside = inside | F.col("_v").between(F.col("_cuts")[2 * i], F.col("_cuts")[2 * i + 1])
     # A value outside every bracket is stored under the last bracket end below it (null: below all).
-    below = F.array_max(F.filter(F.col("_cuts"), lambda c: c < F.col("_v")))
-    histogram = (
-        rows.withColumn("_gap", ~F.coalesce(inside, F.lit(False)))
-        .withColumn("_v", F.when(F.col("_gap"), below).otherwise(F.col("_v")))
-        .groupBy(*keys, "_v", "_gap")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    by_value = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first(), "_gap")
-    upto = by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = histogram.withColumn("_cum", F.sum("_c").over(upto)).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy(*keys))
+    inside = " OR ".join(f"_v BETWEEN _cuts[{2 * i}] AND _cuts[{2 * i + 1}]" for i in range(len(probs)))
+    marked = rows.withColumn("_gap", F.expr(f"NOT (_cuts IS NULL OR {inside})"))
+    stored = F.expr("IF(_gap, array_max(filter(_cuts, c -> c < _v)), _v)")
+    histogram = marked.groupBy(*keys, stored.alias("_v"), "_gap").agg(F.count(F.lit(1)).alias("_c"))
+    upto = (
+        Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first(), "_gap")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > rank, F.struct("_cum", "_gap", "_v")))
-
-    picks = []
-    for i, p in enumerate(probs):
-        spot = (F.col("_n") - 1) * F.lit(float(p))
-        picks += [at_rank(F.floor(spot)).alias(f"_lo{i}"), at_rank(F.ceil(spot)).alias(f"_hi{i}")]
-    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
-
-    def exact(hit: str) -> Column:
-        lost = F.raise_error(F.lit("quantile rank outside its bracket; raise accuracy"))
-        return F.when(F.col(hit)["_gap"], lost.cast("double")).otherwise(F.col(hit)["_v"])
-
-    results = []
-    for i, p in enumerate(probs):
-        spot = (F.col("n") - 1) * F.lit(float(p))
-        results.append(exact(f"_lo{i}") + (exact(f"_hi{i}") - exact(f"_lo{i}")) * (spot - F.floor(spot)))
+    ranked = histogram.withColumns({"_cum": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+
+    hit = "min(IF(_cum > {end}((_n - 1) * {p!r}D), struct(_cum, _gap, _v), NULL)) AS _{end}{i}"
+    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *[
+        F.expr(hit.format(end=end, p=float(p), i=i)) for i, p in enumerate(probs) for end in ("floor", "ceil")
+    ])
+    at = "IF({0}._gap, CAST(raise_error('quantile rank outside its bracket; raise accuracy') AS DOUBLE), {0}._v)"
+    between = "{low} + ({high} - {low}) * ((n - 1) * {p!r}D - floor((n - 1) * {p!r}D))"
+    results = [
+        F.expr(between.format(low=at.format(f"_floor{i}"), high=at.format(f"_ceil{i}"), p=float(p)))
+        for i, p in enumerate(probs)
+    ]
     return picked.select(*keys, "n", F.array(*results).alias(alias))
 
 

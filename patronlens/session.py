@@ -56,10 +56,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    Used before a plan is read several times, and once per round in iterative operators. The copy
-    sits in reliable storage, so a lost executor costs only its own tasks.
+    Used before a plan is read several times, and once per round in iterative operators. Later steps
+    read only the columns they need, the planner knows the table's true size, and a lost executor
+    costs only its own tasks.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
