@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from patronlens import constants as C
 
 RINGS = "array<array<array<double>>>"
-FEATURE = "type string, id string, geometry struct<type: string, coordinates: string>"
+GEOMETRY = "struct<type: string, coordinates: string>"
+FEATURE_LINE = f"type string, id string, geometry {GEOMETRY}"
+COLLECTION = f"features array<struct<type: string, id: string, geometry: {GEOMETRY}>>"
 
 
 def category_tree(spark: SparkSession) -> DataFrame:
@@ -18,7 +20,7 @@ def category_tree(spark: SparkSession) -> DataFrame:
 
 def read_category_tree(spark: SparkSession, path: str) -> DataFrame:
     """A tree stored as one JSON object from upper category to names (a dozen entries)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string, array<string>>")
     return text.select(F.explode(entries).alias("upper_category", "names"))
 
@@ -44,10 +46,10 @@ def read_outlines(spark: SparkSession, path: str, collection: bool = True) -> Da
     for a map of states. Many outlines come one feature per line with ``collection=False``.
     """
     if collection:
-        whole = spark.read.schema(f"features array<struct<{FEATURE.replace(' string', ': string').replace('geometry struct', 'geometry: struct')}>>")
-        features = whole.option("multiLine", True).json(path).select(F.inline("features"))
+        whole = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
+        features = whole.select(F.inline("features"))
     else:
-        features = read_json(spark, path, FEATURE)
+        features = read_json(spark, path, FEATURE_LINE)
     kind = F.col("geometry.type")
     return features.select("id", kind.alias("type"), _polygons(kind, F.col("geometry.coordinates")).alias("polygons"))
 
