@@ -21,15 +21,13 @@ def keep_matching(left: DataFrame, column: str, right: DataFrame, right_column:
     return left.join(keys, F.col(column).eqNullSafe(F.col("_member")), "left_semi")
 
 
-def first_per_key(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """``values`` of the first row per ``key``, rows ordered by ``order``.
+def first_per_key(df: DataFrame, key: str, order: str, values: Sequence[str]) -> DataFrame:
+    """``values`` of the row with the smallest ``order`` per ``key``; ``order`` is unique within a key.
 
-    A ``min`` over a struct is combined in the map tasks, unlike a ranking window. The values close
-    the ordering, so rows equal in ``order`` cannot make the result depend on the partitioning.
+    ``min_by`` over numbers is a hash aggregation combined in the map tasks: neither a ranking
+    window nor a sort of all rows.
     """
-    packed = F.struct(*order, *[c for c in values if c not in order])
-    picked = df.groupBy(key).agg(F.min(packed).alias("_first"))
-    return picked.select(key, *[F.col("_first")[c].alias(c) for c in values])
+    return df.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in values])
 
 
 def most_common(df: DataFrame, keys: Sequence[str], value: str, alias: str, weight: Column | None = None) -> DataFrame:

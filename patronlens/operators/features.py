@@ -24,27 +24,31 @@ def reference_date(orders: DataFrame) -> Column:
 
 def order_profile(items: DataFrame, product_upper: DataFrame, sellers: DataFrame) -> DataFrame:
     """Per order: category with the largest price sum (first in the alphabet on a tie), zip of the
-    first line's seller (0 if unknown) and number of lines, all from one pass over the lines."""
+    first line's seller (0 if unknown) and number of lines, all from one pass over the lines.
+
+    The step over all lines keeps only numbers, so it is a hash aggregation in the map tasks.
+    """
     lines = items.select("_row", ORDER, "product_id", "seller_id", "price").join(
         product_upper.select("product_id", "upper_category"), "product_id", "left"
     ).join(sellers.select("seller_id", "seller_zip_code_prefix"), "seller_id", "left")
-    zip_code = F.coalesce("seller_zip_code_prefix", F.lit(0)).alias("zip")
+    zip_code = F.coalesce("seller_zip_code_prefix", F.lit(0))
     per_category = lines.groupBy(ORDER, F.coalesce("upper_category", F.lit(C.MISSING_CATEGORY)).alias("upper_category")).agg(
-        F.sum("price").alias("price"), F.min(F.struct("_row", zip_code)).alias("first"), F.count(F.lit(1)).alias("n")
+        F.sum("price").alias("price"), F.min("_row").alias("row"), F.min_by(zip_code, "_row").alias("zip"),
+        F.count(F.lit(1)).alias("n"),
     )
     return per_category.groupBy(ORDER).agg(
         F.min_by("upper_category", F.struct(-F.col("price"), F.col("upper_category"))).alias("upper_category"),
-        F.min("first")["zip"].alias("seller_zip_code_prefix"),
+        F.min_by("zip", "row").alias("seller_zip_code_prefix"),
         F.sum("n").alias("items"),
     )
 
 
 def first_reviews(reviews: DataFrame) -> DataFrame:
-    return first_per_key(reviews, ORDER, ["_row"], ["review_score"])
+    return first_per_key(reviews, ORDER, "_row", ["review_score"])
 
 
 def first_payments(payments: DataFrame) -> DataFrame:
-    return first_per_key(payments, ORDER, ["_row"], ["payment_value"])
+    return first_per_key(payments, ORDER, "_row", ["payment_value"])
 
 
 def scored_orders(profile: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:

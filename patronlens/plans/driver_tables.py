@@ -8,12 +8,14 @@ scans only the columns it uses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronlens import constants as C
+from patronlens.session import cut_lineage
 
 STATUS = {"F": "delivered", "O": "shipped", "P": "canceled"}
 ODD_CITIES = {0: "sp", 1: "04482255", 2: "vendas@creditparts.com.br", 3: "lages - sc", 4: " "}
@@ -22,6 +24,13 @@ ODD_CITIES = {0: "sp", 1: "04482255", 2: "vendas@creditparts.com.br", 3: "lages
 class Shop:
     def __init__(self, spark: SparkSession, folder: str, person: str = "customer"):
         self.spark, self.folder, self.person = spark, folder, person
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A step of a query that several later steps start from: built and written once."""
+        if name not in self._made:
+            self._made[name] = cut_lineage(make())
+        return self._made[name]
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -86,9 +95,14 @@ class Shop:
             F.col("o_totalprice").alias("payment_value"),
         )
 
+    def _line_row(self) -> Column:
+        """A row number that orders the lines of an order; line numbers alone repeat."""
+        line = F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")
+        return ((line * 100_000 + F.col("l_suppkey")) * 64 + F.col("l_quantity").cast("long")).alias("_row")
+
     def items(self) -> DataFrame:
         return self.source("lineitem").select(
-            F.col("l_linenumber").cast("long").alias("_row"),
+            self._line_row(),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
@@ -99,7 +113,7 @@ class Shop:
 
     def reviews(self) -> DataFrame:
         return self.source("lineitem").select(
-            F.col("l_linenumber").cast("long").alias("_row"),
+            self._line_row(),
             F.col("l_orderkey").alias("order_id"),
             F.when(F.col("l_returnflag") != "N", 1.0 + F.col("l_quantity") % 5).alias("review_score"),
         )

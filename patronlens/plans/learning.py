@@ -66,10 +66,12 @@ _WIDE = """customer_unique_id, round(dist, 6) AS dist, round(score, 6) AS score,
 
 
 def clustering_table(shop, parity=False):
-    repeated = cut_lineage(people.repeated(shop))
-    labels = churn.poisson_labels(repeated, people.today(shop))
-    table = rfm.rfm_table(shop.orders(), shop.customers(), shop.payments())
-    return cut_lineage(clustering.clustering_table(repeated, centroids(shop), table, labels, parity))
+    def make():
+        labels = churn.poisson_labels(people.repeated(shop), people.today(shop))
+        table = rfm.rfm_table(shop.orders(), shop.customers(), shop.payments())
+        return clustering.clustering_table(people.repeated(shop), centroids(shop), table, labels, parity)
+
+    return shop.once(f"clustering-{parity}", make)
 
 
 def _rounded(df, *columns, digits=6):
@@ -147,7 +149,7 @@ def _(shop):
 
 def _two_labels(shop):
     """The Poisson class next to the fixed-threshold label of the same person."""
-    labels = churn.poisson_labels(cut_lineage(people.repeated(shop)), people.today(shop))
+    labels = churn.poisson_labels(people.repeated(shop), people.today(shop))
     whole = features.history_dataset(people.base(shop), people.today(shop), expand=False)
     fixed = whole.select(F.col("customer_unique_id").alias("id"), churn.fixed_label(F.col("days_after_order")).alias("fixed"))
     return labels.join(fixed, "id")
@@ -307,10 +309,15 @@ def _(shop):
     return models.predict(stage, held, ["time_delta", "rfc"]).select("customer_unique_id", "class", "prediction", "probability")
 
 
+def _one_order_rows(shop):
+    """Order features of one-order people, from the sessions the clusters were built on."""
+    rows = features.one_order_rows(people.dataset(shop), people.year_sessions(shop))
+    return features.order_features(rows, centroids(shop), people.today(shop))
+
+
 def _one_order_scores(shop, rows=None):
     model, _, _, shares = _cluster_model(shop)
-    if rows is None:
-        rows = features.one_order_features(people.dataset(shop), centroids(shop), people.today(shop), category_order=people.CATEGORIES)
+    rows = _one_order_rows(shop) if rows is None else rows
     return models.score_one_order(model, rows, models.cluster_table(shares), people.CATEGORIES), shares
 
 
@@ -420,7 +427,7 @@ def _(shop):
 
 @query("scored_csv_files", person=YEAR)
 def _(shop):
-    rows = features.one_order_features(people.dataset(shop), centroids(shop), people.today(shop), category_order=people.CATEGORIES)
+    rows = _one_order_rows(shop)
     path = csv_tables.write_table(rows, scratch_path(shop.spark, "one-order"), "one_order_customers", "csv")
     return _one_order_scores(shop, read_order_features(shop.spark, path))[0]
 

@@ -8,7 +8,6 @@ from patronlens.operators import churn, cleaning, features, sessions
 from patronlens.plans.registry import query
 from patronlens.plans.tables import centroids
 from patronlens.plans.views import VIEWS
-from patronlens.session import cut_lineage
 
 CATEGORIES = [f"group_{i}" for i in range(9)] + ["miss"]
 _ORDERED = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
@@ -18,12 +17,11 @@ _EVENT_ORDERED = "[" + ", ".join(f"'{c}'" for c in EVENT_KINDS) + "]"
 # --- order dataset -----------------------------------------------------------------------------
 
 VIEWS["v_profile"] = """SELECT order_id, max(CASE WHEN best = 1 THEN upper_category END) AS upper_category,
- arg_min(zip, (_row * 1000 + zip)) AS seller_zip_code_prefix, CAST(sum(n) AS BIGINT) AS items
-FROM (SELECT order_id, upper_category, zip, _row, n, row_number() OVER (PARTITION BY order_id ORDER BY price DESC, upper_category) AS best
+ arg_min(zip, _row) AS seller_zip_code_prefix, CAST(sum(n) AS BIGINT) AS items
+FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY price DESC, upper_category) AS best
       FROM (SELECT order_id, coalesce(upper_category, 'miss') AS upper_category, sum(price) AS price, count(*) AS n,
-                   min(v_items._row * 1000 + coalesce(seller_zip_code_prefix, 0)) // 1000 AS _row,
-                   min(v_items._row * 1000 + coalesce(seller_zip_code_prefix, 0)) % 1000 AS zip
-            FROM v_items LEFT JOIN v_upper USING (product_id) LEFT JOIN v_sellers USING (seller_id) GROUP BY 1, 2)) GROUP BY 1"""
+                   min(i._row) AS _row, arg_min(coalesce(seller_zip_code_prefix, 0), i._row) AS zip
+            FROM v_items i LEFT JOIN v_upper USING (product_id) LEFT JOIN v_sellers USING (seller_id) GROUP BY 1, 2)) GROUP BY 1"""
 VIEWS["v_first_reviews"] = """SELECT order_id, review_score FROM (SELECT *, row_number() OVER (
  PARTITION BY order_id ORDER BY _row, review_score NULLS FIRST) AS i FROM v_reviews) WHERE i = 1"""
 VIEWS["v_first_payments"] = """SELECT order_id, payment_value FROM (SELECT *, row_number() OVER (
@@ -43,8 +41,7 @@ def product_upper(shop):
 
 
 def dataset(shop):
-    """The order dataset, written once because everything built on it reads it several times."""
-    return cut_lineage(features.order_dataset(
+    return shop.once("dataset", lambda: features.order_dataset(
         shop.items(), product_upper(shop), shop.sellers(), shop.reviews(), shop.payments(), shop.orders(), shop.customers()
     ))
 
@@ -159,11 +156,13 @@ def _rounded_sessions(df):
 
 
 def year_sessions(shop):
-    return cut_lineage(sessions.anchored_sessions(features.split_people(dataset(shop))[1], category_order=CATEGORIES))
+    return shop.once("sessions", lambda: sessions.anchored_sessions(
+        features.split_people(dataset(shop))[1], category_order=CATEGORIES
+    ))
 
 
 def repeated(shop):
-    return sessions.repeated_sessions(year_sessions(shop))
+    return shop.once("repeated", lambda: sessions.repeated_sessions(year_sessions(shop)))
 
 
 @query("session_anchors", "SELECT order_id, anchor FROM v_event_walk")

@@ -181,7 +181,7 @@ def clean_points(shop):
 
 
 def centroids(shop):
-    return territory.zip_centroids(clean_points(shop))
+    return shop.once("centroids", lambda: territory.zip_centroids(clean_points(shop)))
 
 
 def _rounded_centroids(df):

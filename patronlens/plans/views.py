@@ -45,12 +45,12 @@ SELECT o_orderkey AS _row, o_orderkey AS order_id,
 FROM (SELECT *, lower(substring(o_orderpriority, 3, 30)) AS kind FROM orders)"""
 
 VIEWS["v_items"] = """
-SELECT CAST(l_linenumber AS BIGINT) AS _row, l_orderkey AS order_id, l_partkey AS product_id, l_suppkey AS seller_id,
+SELECT ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS _row, l_orderkey AS order_id, l_partkey AS product_id, l_suppkey AS seller_id,
        l_shipdate AS shipping_limit_date, l_extendedprice AS price, l_extendedprice * l_tax AS freight_value
 FROM lineitem"""
 
 VIEWS["v_reviews"] = """
-SELECT CAST(l_linenumber AS BIGINT) AS _row, l_orderkey AS order_id,
+SELECT ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS _row, l_orderkey AS order_id,
        CASE WHEN l_returnflag <> 'N' THEN 1.0 + l_quantity % 5 END AS review_score FROM lineitem"""
 
 VIEWS["v_products"] = """

@@ -50,6 +50,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_steps: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -63,5 +66,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     costs only its own tasks.
     """
     path = scratch_path(df.sparkSession, "step")
+    _steps.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_steps(spark: SparkSession) -> int:
+    """Delete the step tables this process has written; results built on them must be saved before."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    released = 0
+    while _steps:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_steps.pop())
+        released += bool(path.getFileSystem(conf).delete(path, True))
+    return released
