@@ -17,23 +17,23 @@ YEAR = "customer_year"
 
 # --- R16 ---------------------------------------------------------------------------------------
 
-VIEWS["v_event_gaps"] = """SELECT order_id, customer_unique_id, CAST(date_sub('second', lag(order_purchase_timestamp) OVER (
+VIEWS["v_order_gaps"] = """SELECT order_id, customer_unique_id, CAST(date_sub('second', lag(order_purchase_timestamp) OVER (
  PARTITION BY customer_unique_id ORDER BY order_purchase_timestamp, order_id), order_purchase_timestamp) AS DOUBLE) AS gap FROM v_event_orders"""
 
 
-@query("order_gaps", "SELECT * FROM v_event_gaps WHERE gap IS NOT NULL")
+@query("order_gaps", "SELECT * FROM v_order_gaps WHERE gap IS NOT NULL")
 def _(shop):
     return features.order_gaps(shop.event_orders())
 
 
-@query("order_gaps_split", "SELECT * FROM v_event_gaps WHERE gap IS NOT NULL")
+@query("order_gaps_split", "SELECT * FROM v_order_gaps WHERE gap IS NOT NULL")
 def _(shop):
     """The same gaps with everyone treated as heavy."""
     return features.order_gaps(shop.event_orders(), hot_floor=1, hot_share=0.0)
 
 
 @query("repeat_knots", " UNION ALL ".join(
-    f"SELECT {round(i / 27, 6)}::DOUBLE AS share, round(quantile_cont(gap, {i / 27!r}), 4) AS seconds FROM v_event_gaps WHERE gap IS NOT NULL"
+    f"SELECT {round(i / 27, 6)}::DOUBLE AS share, round(quantile_cont(gap, {i / 27!r}), 4) AS seconds FROM v_order_gaps WHERE gap IS NOT NULL"
     for i in range(28)
 ))
 def _(shop):

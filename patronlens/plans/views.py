@@ -12,7 +12,14 @@ _STATES = "[" + ", ".join(f"'{s}'" for s in C.STATES) + "]"
 _ODD = " ".join(f"WHEN {k} THEN '{v}'" for k, v in ODD_CITIES.items())
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' WHEN 'P' THEN 'canceled' END"
 
-VIEWS: dict[str, str] = {}
+class _Views(dict):
+    def __setitem__(self, name: str, sql: str) -> None:
+        if name in self:
+            raise ValueError(f"view {name} is defined twice")
+        super().__setitem__(name, sql)
+
+
+VIEWS: dict[str, str] = _Views()
 
 VIEWS["v_customers"] = f"""
 SELECT c_custkey AS customer_id, c_custkey AS customer_unique_id, c_nationkey AS customer_zip_code_prefix,
