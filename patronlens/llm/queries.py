@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, mixing, url_filter
+from patronlens.llm import decontamination, mixing, near_duplicates, url_filter
 from patronlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,27 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+NEAR_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS s FROM docs WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS g FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+    JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM docs UNION SELECT links.b, reach.c FROM reach JOIN links ON reach.id = links.a),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN least ON d.doc_id = id
+"""
+
+
+@query("op3_near_duplicates", NEAR_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    placed = near_duplicates.components(table(spark, folder, "documents"), shingle=3, percent=85)
+    return placed.withColumn("kept", near_duplicates.kept(F.col("doc_id"), F.col("component_id")))
+
+
 MIXING_SQL = rf"""
 WITH docs AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 sources AS (SELECT source, sum(size) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM docs GROUP BY source),

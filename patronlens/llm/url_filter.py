@@ -13,18 +13,15 @@ bear a result's name, which then replaces them.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronlens.llm import bloom
 from patronlens.llm.common import LOWER, UPPER
 
-WORDS = 4
-BITS_PER_KEY = 16
-MAX_BLOCKS = 1 << 18
 MAX_RULES = 500
 RESULTS = ["host", "path", "rule", "listed", "verdict"]
 
@@ -70,26 +67,7 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return name, verdict
 
 
-def _position(key: str, word: int) -> str:
-    return f"CAST(shiftrightunsigned(xxhash64({key}, 17), {6 * word}) & 63 AS INT)"
-
-
-def _block(key: str, blocks: int) -> Column:
-    return F.expr(f"xxhash64({key}) & {blocks - 1}L")
-
-
-def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """``block`` and its four words for the keys; ``blocks`` is a power of two."""
-    words = [F.bit_or(F.expr(f"shiftleft(1L, {_position(key, i)})")).alias(f"w{i}") for i in range(WORDS)]
-    return keys.groupBy(_block(key, blocks).alias("block")).agg(*words)
-
-
-def blocks_for(n_keys: int, bits_per_key: int = BITS_PER_KEY, max_blocks: int = MAX_BLOCKS) -> int:
-    wanted = max(1, n_keys * bits_per_key / (64 * WORDS))
-    return min(max_blocks, 1 << math.ceil(math.log2(wanted)))
-
-
-def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url: str = "url", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url: str = "url", max_blocks: int = bloom.MAX_BLOCKS) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict. ``listed`` has the blocked URLs in a column ``url``.
 
     The verdict is the rule's where one fits, else ``block`` for a listed URL and ``allow`` for others.
@@ -99,13 +77,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url: str =
     rows = rows.withColumn("_key", canonical(F.col(url), F.col("host"), F.col("path")))
     own_host, own_path = host_and_path(F.col("url"))
     names = listed.select(canonical(F.col("url"), own_host, own_path).alias("_name")).where("_name IS NOT NULL").distinct()
-    blocks = blocks_for(names.count(), max_blocks=max_blocks)
-    filter_rows = bloom_filter(names, "_name", blocks).withColumnsRenamed({"block": "_block", **{f"w{i}": f"_w{i}" for i in range(WORDS)}})
-    set_bits = " AND ".join(f"(shiftright(_w{i}, {_position('_key', i)}) & 1) = 1" for i in range(WORDS))
-    rows = rows.withColumn("_block_of", _block("_key", blocks))
-    probed = rows.join(F.broadcast(filter_rows), F.col("_block_of") == F.col("_block"), "left")
-    probed = probed.withColumn("_possible", F.coalesce(F.expr(f"_key IS NOT NULL AND {set_bits}"), F.lit(False)))
-    probed = probed.drop("_block", "_block_of", *[f"_w{i}" for i in range(WORDS)])
+    probed = bloom.probe(rows, "_key", names, "_name", "_possible", max_blocks)
     hits = probed.where("_possible").join(names, F.col("_key") == F.col("_name"), "left")
     hits = hits.withColumn("listed", F.col("_name").isNotNull()).drop("_name")
     others = probed.where("NOT _possible").withColumn("listed", F.lit(False))
