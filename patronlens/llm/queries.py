@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, mixing, near_duplicates, url_filter
+from patronlens.llm import decontamination, mixing, near_duplicates, packing, url_filter, warc_fixity
 from patronlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,42 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", "taken")
 
 
+_SQL_RECORD = """'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || e
+    || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Length: ' || strlen(body) || e || e || body || e || e"""
+#: The second replica of the audit: of every 97 page ids one payload is altered, one loses its end, and one record is absent.
+ALTERED, SHORTENED, ABSENT, EVERY = 5, 17, 11, 97
+
+FIXITY_SQL = f"""
+WITH own AS (SELECT page_id, url, coalesce(html, '') AS body, chr(13) || chr(10) AS e FROM pages),
+a AS (SELECT page_id, url, strlen(r) AS length, sha256(r) AS digest FROM (SELECT page_id, url, {_SQL_RECORD} AS r FROM own)),
+placed AS (SELECT *, page_id // 512 AS archive, coalesce(sum(length) OVER (PARTITION BY page_id // 512 ORDER BY page_id, url, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM a),
+damaged AS (SELECT page_id, url, e, CASE page_id % {EVERY} WHEN {ALTERED} THEN '#' || body ELSE substr(body, 1, length(body) // 2) END AS body FROM own WHERE page_id % {EVERY} IN ({ALTERED}, {SHORTENED})),
+b AS (SELECT page_id, strlen(r) AS length, sha256(r) AS digest FROM (SELECT page_id, {_SQL_RECORD} AS r FROM damaged))
+SELECT CAST(archive AS BIGINT) AS archive, CAST("offset" AS BIGINT) AS "offset", p.page_id AS record_id,
+    CASE WHEN p.page_id % {EVERY} = {ABSENT} THEN 'missing' ELSE 'changed' END AS status,
+    p.length AS length, b.length AS their_length, p.digest AS digest, b.digest AS their_digest
+FROM placed p LEFT JOIN b ON p.page_id = b.page_id WHERE p.page_id % {EVERY} IN ({ALTERED}, {SHORTENED}, {ABSENT})
+"""
+
+
+@query("op6_warc_fixity", FIXITY_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    left = F.pmod(F.col("page_id"), F.lit(EVERY))
+    body = F.coalesce("html", F.lit(""))
+    html = F.when(left == ALTERED, F.concat(F.lit("#"), body)).when(left == SHORTENED, F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))).otherwise(body)
+    ours = warc_fixity.archived(pages)
+    record = warc_fixity.record_bytes(F.col("page_id"), F.col("url"), html)
+    copy = pages.where(left != ABSENT).select(F.col("page_id").alias("_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+    theirs = ours.drop("length", "digest").join(copy, F.col("record_id") == F.col("_id")).drop("_id")
+    return warc_fixity.audit(ours, theirs)
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), packing.read_vocabulary())
+
+
 RULES = (
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
