@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, mixing, near_duplicates, packing, url_filter, warc_fixity
-from patronlens.llm.common import table
+from patronlens.llm import decontamination, language, mixing, near_duplicates, packing, url_filter, warc_fixity
+from patronlens.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -179,3 +179,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     host, _ = url_filter.host_and_path(F.col("url"))
     listed = pages.where(host.rlike(REPORTED_HOSTS)).select("url")
     return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+@query("op10_language")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language.fit(documents, ~held_out)
+    return language.predict(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
