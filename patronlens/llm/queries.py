@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, language, mixing, near_duplicates, packing, url_filter, warc_fixity
+from patronlens.llm import decontamination, language, mixing, near_duplicates, packing, toxicity, url_filter, warc_fixity
 from patronlens.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     model = language.fit(documents, ~held_out)
     return language.predict(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(documents, labels.where(remainder(F.col("doc_id"), 3) != 1))
+    held_out = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
+    return toxicity.score(documents.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted", "n_hits", "strongest")
