@@ -23,7 +23,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
-def _powers_of(base: int, size: int) -> np.ndarray:
+def powers_of(base: int, size: int) -> np.ndarray:
     """base ** 0, 1, ... modulo 2 ** 64; the longest array of each base is kept up to a few pieces' length."""
     held = _powers.get(base)
     if held is not None and len(held) >= size:
@@ -95,8 +95,8 @@ def words(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[Words]:
         after[borders[1:][borders[1:] > 0] - 1] = False
         ends = np.flatnonzero(inside & ~after) + 1
         sums = np.zeros(len(low) + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers_of(BASE, len(low) + 1)[: len(low)], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * _powers_of(INVERSE, len(low) + 1)[starts]
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers_of(BASE, len(low) + 1)[: len(low)], out=sums[1:])
+        raw = (sums[ends] - sums[starts]) * powers_of(INVERSE, len(low) + 1)[starts]
         hashes = mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         yield Words(first, last, low, starts, ends, hashes, np.searchsorted(starts, borders))
 

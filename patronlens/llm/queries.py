@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, language, mixing, near_duplicates, packing, toxicity, url_filter, warc_fixity
+from patronlens.llm import decontamination, language, lm_scoring, mixing, near_duplicates, packing, toxicity, url_filter, warc_fixity
 from patronlens.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(documents, labels.where(remainder(F.col("doc_id"), 3) != 1))
     held_out = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
     return toxicity.score(documents.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted", "n_hits", "strongest")
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    result = lm_scoring.scored(documents, ~held_out)
+    return result.select("doc_id", held_out.alias("held_out"), *[c for c in result.columns if c != "doc_id"])
