@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, language, lm_scoring, mixing, near_duplicates, packing, toxicity, url_filter, warc_fixity
+from patronlens.llm import decontamination, language, lm_scoring, mixing, near_duplicates, packing, toxicity, url_filter, vector_graph, warc_fixity
 from patronlens.llm.common import remainder, table
+from patronlens.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -203,3 +204,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 10) == 0
     result = lm_scoring.scored(documents, ~held_out)
     return result.select("doc_id", held_out.alias("held_out"), *[c for c in result.columns if c != "doc_id"])
+
+
+@query("op8_embedding_near_duplicates")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    found = cut_lineage(vector_graph.near_duplicates(embeddings))
+    recall = vector_graph.audited(embeddings, found)
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return found.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), F.lit(recall).alias("audited_recall"))
