@@ -45,8 +45,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     """source, source_size, target from (source, size) rows.
 
     Works on one row per source. A source is capped when its limit per weight is among the lowest;
-    walking up that order, the level is what the capped leave divided by the remaining weight, and
-    the first source whose limit exceeds the level ends the capped ones.
+    walking up that order, the level is what the capped leave divided by the remaining weight. It rises
+    up to the first source whose limit reaches it and falls behind, so it is the highest level that a source reaches.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(1))
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     totals = totals.withColumn("level", level)
-    final = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
+    final = F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
     return totals.withColumn("final", final).select("source", "source_size", F.least(F.col("cap"), F.col("final") * F.col("weight")).alias("target"))
 
 

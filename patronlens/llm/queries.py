@@ -83,7 +83,8 @@ caps AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS
 levels AS (
     SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
-targets AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, weight * (SELECT min(level) FROM levels WHERE cap >= level * weight)) AS target FROM levels),
+fits AS (SELECT l.level, abs(sum(least(c.cap, l.level * c.weight)) - any_value(c.everything)) AS miss FROM levels l, caps c GROUP BY l.level),
+targets AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, weight * (SELECT arg_min(level, miss) FROM fits)) AS target FROM levels),
 groups AS (SELECT DISTINCT doc_id, source, size, md5(coalesce(CAST(doc_id AS VARCHAR), '~')) AS h FROM docs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, CAST('0x' || substr(h, 1, 6) AS BIGINT) % 1024, h, doc_id) AS r FROM groups),
 steps AS (
