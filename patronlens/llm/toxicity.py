@@ -263,6 +263,29 @@ def _choose_terms(counts: pd.DataFrame, n_toxic: int, n_clean: int) -> list[Term
     return sorted(terms, key=lambda t: (-abs(t.weight), t.text, t.stem))
 
 
+def logistic_weights(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights of a logistic score and, last, its constant. More hits never lower the score and more words never raise it:
+    the feature whose weight breaks this most is left out until none does."""
+    z = np.column_stack([z, np.ones(len(z))])
+    sign = np.array([-1.0 if f == "words" else 1.0 for f in FEATURES])
+    used = np.append(np.ones(len(FEATURES), dtype=bool), True)
+    while True:
+        own = z[:, used]
+        beta, penalty = np.zeros(own.shape[1]), np.append(np.full(own.shape[1] - 1, PENALTY), 0.0)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(own @ beta, -30, 30)))
+            step = np.linalg.solve((own * (w * p * (1 - p))[:, None]).T @ own + np.diag(penalty + 1e-9), own.T @ (w * (y - p)) - penalty * beta)
+            beta = beta + step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+            if np.abs(step).max() < 1e-8:
+                break
+        weights = np.zeros(z.shape[1])
+        weights[used] = beta
+        wrong = weights[:-1] * sign
+        if wrong.min() >= 0:
+            return weights
+        used[int(wrong.argmin())] = False
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", lexicon: int = LEXICON) -> Model | None:
     """The model of the labelled rows; None where one of the labels is missing. ``labels`` has the rows to learn from."""
     sample = labelled_sample(documents, labels, label)
@@ -305,14 +328,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", lexicon:
     order = np.lexsort((y, *x.T))
     x, y, w = x[order], y[order], w[order] / w.sum()
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    beta, penalty = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], PENALTY), 0.0)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (w * (y - p)) - penalty * beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
-            break
+    beta = logistic_weights((x - mean) / scale, y, w)
     return Model(weighed, mean, scale, beta)
 
 
