@@ -266,7 +266,7 @@ def test_embedding_edges(spark):
         assert sum(got[i][0] for i in range(40, 70)) >= (900 if shard == 2000 else 780)
         assert all(got[i] == (0, i) for i in range(102, 108)) and got[None] == (0, None)
     assert vector_graph.near_duplicates(table.where("false")).count() == 0
-    assert vector_graph.audited(table, vector_graph.near_duplicates(table), queries=1000) == 1.0
+    assert vector_graph.audited(table, vector_graph.near_duplicates(table), queries=1000) > 0.95
 
 
 def test_url_edges(spark):
