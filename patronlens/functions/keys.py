@@ -1,4 +1,4 @@
-"""Joins, first-per-key picks and heavy-key detection."""
+"""Joins and first-per-key picks."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_FLOOR = 100_000
-HOT_SHARE = 1e-4
-
 
 def keep_matching(left: DataFrame, column: str, right: DataFrame, right_column: str | None = None) -> DataFrame:
     """Rows of ``left`` whose ``column`` occurs in ``right``; null matches null.
@@ -40,18 +37,6 @@ def most_common(df: DataFrame, keys: Sequence[str], value: str, alias: str, weig
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(alias))
 
 
-def hot_keys(df: DataFrame, key: str, floor: int = HOT_FLOOR, share: float = HOT_SHARE) -> DataFrame:
-    """Keys with more than ``max(floor, share * rows)`` rows.
-
-    At most ``1 / share`` keys can pass, whatever the data size, so the result is safe to broadcast.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.where(F.col("_n") > F.greatest(F.lit(float(floor)), total * F.lit(share))).select(key)
-
-
-def mark_hot(df: DataFrame, key: str, floor: int = HOT_FLOOR, share: float = HOT_SHARE, flag: str = "_hot") -> DataFrame:
-    """``df`` with a boolean ``flag`` on the rows of heavy keys."""
-    hot = hot_keys(df, key, floor, share).select(F.col(key).alias("_hot_key"), F.lit(True).alias(flag))
-    marked = df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
-    return marked.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+def with_row(df: DataFrame, row: str = "_row") -> DataFrame:
+    """``df`` with an order of its rows: the saved index where there is one, else a hash of the row's values."""
+    return df if row in df.columns else df.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]))

@@ -40,7 +40,7 @@ def thrice_same(repeated: DataFrame) -> DataFrame:
 
 
 def poisson_labels(repeated: DataFrame, today: Column, low: float = C.GONE_BELOW) -> DataFrame:
-    """Rate, chance of having stayed and class (0 gone, 1 active) per person with several sessions.
+    """Rate, chance of having stayed and class (0 gone, 1 active, null without a rate) per person with several sessions.
 
     More than three sessions in one category: that category's own rate. Otherwise the rate of the
     dominant category, or the mean over all categories of someone who never repeated one. People
@@ -60,7 +60,7 @@ def poisson_labels(repeated: DataFrame, today: Column, low: float = C.GONE_BELOW
     )
     valued = people.select(F.col(PERSON).alias("id"), rate.alias("lambda"), whole_days(F.col("last"), today).alias("days"))
     valued = valued.withColumn("val", F.exp(-F.col("lambda") * F.col("days")))
-    return valued.select("id", "lambda", "val", F.when(F.col("val") < low, 0).otherwise(1).alias("class"))
+    return valued.select("id", "lambda", "val", F.when(F.col("val") < low, 0).when(F.col("val").isNotNull(), 1).alias("class"))
 
 
 def class_counts(labels: DataFrame, column: str = "class") -> DataFrame:

@@ -24,6 +24,15 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in gone])
 
 
+def distinct_rows(df: DataFrame, keep_row: bool = False) -> DataFrame:
+    """Rows that differ in anything but the saved index; ``keep_row`` keeps the smallest index of equal rows."""
+    values = [c for c in df.columns if c != ROW]
+    if not keep_row or ROW not in df.columns:
+        return drop_columns(df, [ROW]).dropDuplicates()
+    kept = df.groupBy(*[F.col(f"`{c}`") for c in values]).agg(F.min(ROW).alias(ROW))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def customers(raw_customers: DataFrame, raw_orders: DataFrame) -> DataFrame:
     return keep_matching(raw_customers, "customer_id", raw_orders)
 
@@ -43,14 +52,14 @@ def products(raw_products: DataFrame, raw_translation: DataFrame) -> DataFrame:
     return rename_product_columns(products_in_catalogue(raw_products, raw_translation)).na.drop("any")
 
 
-def reviews(raw_reviews: DataFrame) -> DataFrame:
-    return drop_columns(raw_reviews, [ROW])
+def reviews(raw_reviews: DataFrame, keep_row: bool = False) -> DataFrame:
+    return raw_reviews if keep_row else drop_columns(raw_reviews, [ROW])
 
 
-def payments(raw_payments: DataFrame, raw_orders: DataFrame) -> DataFrame:
+def payments(raw_payments: DataFrame, raw_orders: DataFrame, keep_row: bool = False) -> DataFrame:
     """Distinct payments of known orders with a defined type; an unknown (null) type stays."""
     defined = ~F.col("payment_type").eqNullSafe("not_defined")
-    distinct = drop_columns(raw_payments, [ROW]).where(defined).dropDuplicates()
+    distinct = distinct_rows(raw_payments.where(defined), keep_row)
     return keep_matching(distinct, "order_id", raw_orders)
 
 
@@ -60,8 +69,8 @@ def orders(raw_orders: DataFrame) -> DataFrame:
     return raw_orders.where(~incomplete).dropDuplicates()
 
 
-def items(raw_items: DataFrame, clean_orders: DataFrame) -> DataFrame:
-    lines = drop_columns(raw_items, [ROW, *REPEATED_ITEM_COLUMNS]).dropDuplicates()
+def items(raw_items: DataFrame, clean_orders: DataFrame, keep_row: bool = False) -> DataFrame:
+    lines = distinct_rows(drop_columns(raw_items, REPEATED_ITEM_COLUMNS), keep_row)
     return keep_matching(lines, "order_id", clean_orders)
 
 
@@ -133,19 +142,22 @@ def sellers(raw_sellers: DataFrame) -> DataFrame:
     return kept.where(~is_one_of("seller_city", C.INVALID_SELLER_CITIES))
 
 
-def clean_table(raw: dict[str, DataFrame], table: str) -> DataFrame:
+def clean_table(raw: dict[str, DataFrame], table: str, keep_row: bool = False) -> DataFrame:
     """One cleaned table. Customers and payments are checked against the raw orders, items against the
-    clean ones, geolocation against the raw sellers and the clean customers."""
+    clean ones, geolocation against the raw sellers and the clean customers.
+
+    ``keep_row`` keeps the saved index of items, payments and reviews, by which the first of an order is chosen later.
+    """
     if table == "customers":
         return customers(raw["customers"], raw["orders"])
     if table == "orders":
         return orders(raw["orders"])
     if table == "orders_items":
-        return items(raw["orders_items"], orders(raw["orders"]))
+        return items(raw["orders_items"], orders(raw["orders"]), keep_row)
     if table == "order_payments":
-        return payments(raw["order_payments"], raw["orders"])
+        return payments(raw["order_payments"], raw["orders"], keep_row)
     if table == "order_reviews":
-        return reviews(raw["order_reviews"])
+        return reviews(raw["order_reviews"], keep_row)
     if table == "products":
         return products(raw["products"], raw["product_category_name_translation"])
     if table == "product_category_name_translation":
@@ -158,8 +170,19 @@ def clean_table(raw: dict[str, DataFrame], table: str) -> DataFrame:
 
 
 def clean(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All nine cleaned tables."""
-    return {table: clean_table(raw, table) for table in raw}
+    """All nine cleaned tables, ready for the feature operators; the saved index goes when they are written.
+
+    Orders and customers, on which other tables depend, are written once.
+    """
+    done = {table: cut_lineage(clean_table(raw, table)) for table in ("orders", "customers") if table in raw}
+    for table in raw:
+        if table == "orders_items" and "orders" in done:
+            done[table] = items(raw[table], done["orders"], keep_row=True)
+        elif table == "geolocation" and "customers" in done:
+            done[table] = geolocation(raw[table], raw["sellers"], done["customers"])
+        elif table not in done:
+            done[table] = clean_table(raw, table, keep_row=True)
+    return {table: done[table] for table in raw}
 
 
 def product_categories(products_table: DataFrame, translation_table: DataFrame, tree: DataFrame) -> DataFrame:

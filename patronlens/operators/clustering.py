@@ -125,18 +125,27 @@ def encoder(numeric: Sequence[str] = NUMERIC, category: str | None = CATEGORY) -
 
 
 def complete(table: DataFrame, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY) -> DataFrame:
-    """Numbers as doubles without nulls and a category that is never empty, as the vector stages need them."""
+    """Numbers as doubles with 0 for null (the mean of a standardised column) and a category that is never empty."""
     filled = table.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric})
     return filled.withColumn(f"_{category}", F.coalesce(F.nullif(F.col(category), F.lit("")), F.lit("unmapped")))
 
 
-def hierarchical(table: DataFrame, k: int = 3, seed: int = 1) -> PipelineModel:
-    """Top-down hierarchical clusters on scaled numbers and one-hot categories."""
-    return Pipeline(stages=[*encoder(), BisectingKMeans(k=k, seed=seed, predictionCol="cluster")]).fit(complete(table))
+ITERATIONS, TOLERANCE = 300, 1e-4
 
 
-def kmeans(table: DataFrame, k: int = 10, seed: int = 1, numeric: Sequence[str] = NUMERIC) -> PipelineModel:
-    return Pipeline(stages=[*encoder(numeric), KMeans(k=k, seed=seed, predictionCol="cluster")]).fit(complete(table, numeric))
+def hierarchical(table: DataFrame, k: int = 3, seed: int = 1, iterations: int = ITERATIONS) -> PipelineModel:
+    """Top-down hierarchical clusters on scaled numbers and one-hot categories; at most ``iterations`` rounds for each cut."""
+    model = BisectingKMeans(k=k, seed=seed, maxIter=iterations, predictionCol="cluster")
+    return Pipeline(stages=[*encoder(), model]).fit(complete(table))
+
+
+def _kmeans(k: int, seed: int, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, **options) -> KMeans:
+    """Rounds end when no centre moves farther than ``tolerance``, at the latest after ``iterations``."""
+    return KMeans(k=k, seed=seed, maxIter=iterations, tol=tolerance, **options)
+
+
+def kmeans(table: DataFrame, k: int = 10, seed: int = 1, numeric: Sequence[str] = NUMERIC, iterations: int = ITERATIONS) -> PipelineModel:
+    return Pipeline(stages=[*encoder(numeric), _kmeans(k, seed, iterations, predictionCol="cluster")]).fit(complete(table, numeric))
 
 
 def assign(model: PipelineModel, table: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def elbow(table: DataFrame, ks: Sequence[int] = tuple(range(1, 31)), seed: int =
             total = wide.groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("s")).agg(F.sum("s"))
             costs.append((1, float(total.first()[0])))
         else:
-            costs.append((k, float(KMeans(k=k, seed=seed).fit(prepared).summary.trainingCost)))
+            costs.append((k, float(_kmeans(k, seed).fit(prepared).summary.trainingCost)))
     return table.sparkSession.createDataFrame(costs, "k int, cost double")
 
 
@@ -174,16 +183,18 @@ def _mixed_cost(numeric: Sequence[str], category: str, centre: dict, gamma: floa
 
 def k_prototypes(
     table: DataFrame, k: int = 20, gamma: float = 1.0, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY,
-    max_rounds: int = 20, seed: int = 1,
+    max_rounds: int = 300, seed: int = 1,
 ) -> tuple[DataFrame, float]:
     """Clusters of mixed rows and their cost: squared distance plus ``gamma`` per unequal category.
 
     ``numeric`` should be scaled. Each round assigns rows against the ``k`` centres, which are
     literals in the expression, and recomputes means and modes by aggregation; only the centres
-    come to the driver.
+    come to the driver. The start is ``k`` different rows. Rounds go on until the cost stays; a cost that still
+    falls after ``max_rounds`` is an error.
     """
     rows = cut_lineage(complete(table, numeric))
-    start = rows.orderBy(F.xxhash64(F.col(PERSON), F.lit(seed)), PERSON).select(*numeric, category).limit(k).collect()
+    different = rows.groupBy(*numeric, category).agg(F.min(F.xxhash64(F.col(PERSON), F.lit(seed))).alias("_draw"))
+    start = different.orderBy("_draw", *numeric, category).select(*numeric, category).limit(k).collect()
     centres = [r.asDict() for r in start]
     previous = None
     for _ in range(max_rounds):
@@ -202,6 +213,8 @@ def k_prototypes(
         previous = total
         for r in found:
             centres[r["cluster"]] = {c: r[c] for c in [*numeric, category]}
+    else:
+        raise RuntimeError(f"the cost still falls after {max_rounds} rounds")
     return placed.select(*table.columns, "cluster"), total
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from patronlens import constants as C
 from patronlens.functions.expressions import euclidean, is_one_of, whole_days
-from patronlens.functions.keys import HOT_FLOOR, HOT_SHARE, first_per_key, keep_matching, mark_hot
+from patronlens.functions.keys import first_per_key, keep_matching, with_row
 from patronlens.functions.order_stats import exact_quantiles, smallest_by_hash
 from patronlens.operators import sessions as S
 from patronlens.session import cut_lineage
@@ -28,7 +28,7 @@ def order_profile(items: DataFrame, product_upper: DataFrame, sellers: DataFrame
 
     The step over all lines keeps only numbers, so it is a hash aggregation in the map tasks.
     """
-    lines = items.select("_row", ORDER, "product_id", "seller_id", "price").join(
+    lines = with_row(items).select("_row", ORDER, "product_id", "seller_id", "price").join(
         product_upper.select("product_id", "upper_category"), "product_id", "left"
     ).join(sellers.select("seller_id", "seller_zip_code_prefix"), "seller_id", "left")
     zip_code = F.coalesce("seller_zip_code_prefix", F.lit(0))
@@ -44,11 +44,11 @@ def order_profile(items: DataFrame, product_upper: DataFrame, sellers: DataFrame
 
 
 def first_reviews(reviews: DataFrame) -> DataFrame:
-    return first_per_key(reviews, ORDER, "_row", ["review_score"])
+    return first_per_key(with_row(reviews), ORDER, "_row", ["review_score"])
 
 
 def first_payments(payments: DataFrame) -> DataFrame:
-    return first_per_key(payments, ORDER, "_row", ["payment_value"])
+    return first_per_key(with_row(payments), ORDER, "_row", ["payment_value"])
 
 
 def scored_orders(profile: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -124,8 +124,10 @@ def one_order_features(
     dataset: DataFrame, centroids: DataFrame, today: Column, parity: bool = False,
     category_order: Sequence[str] = S.CATEGORY_ORDER,
 ) -> DataFrame:
-    """Features of the orders of people who bought once, counting orders of one session as once."""
-    dataset = cut_lineage(dataset)
+    """Features of the orders of people who bought once, counting orders of one session as once.
+
+    ``dataset`` is read several times; pass a written table.
+    """
     _, several = split_people(dataset)
     sessions = S.anchored_sessions(several, parity, category_order)
     return order_features(one_order_rows(dataset, sessions), centroids, today)
@@ -144,20 +146,20 @@ def order_base(orders: DataFrame, customers: DataFrame, reviews: DataFrame, paym
     return reviewed.withColumn("review_score", F.coalesce("review_score", mean)).join(first_payments(payments), ORDER)
 
 
-def prefixes(base: DataFrame, today: Column, hot_floor: int = HOT_FLOOR, hot_share: float = HOT_SHARE) -> DataFrame:
+def prefixes(base: DataFrame, today: Column) -> DataFrame:
     """Features of every history prefix: one row per order, describing the orders up to it.
 
-    A person with very many orders is split by day: the running counts and sums are taken inside
-    each day, and what the earlier days contribute is carried over from one row per day. Everyone
-    else is a single piece, for which the carry is empty.
+    Everyone's history is split by hour: the running counts and sums are taken inside each hour, and what
+    the earlier hours contribute is carried over from one row per hour. So no task takes a whole
+    history, however long. ``base`` is read several times; pass a written table.
     """
-    pieces = mark_hot(base, PERSON, hot_floor, hot_share).withColumn("_piece", F.when(F.col("_hot"), F.to_date(TIME)))
+    pieces = base.withColumn("_piece", F.date_trunc("HOUR", TIME))
     order = [F.col(TIME), F.col(ORDER), F.col("review_score")]
     inside = Window.partitionBy(PERSON, "_piece").orderBy(*order)
     whole = Window.partitionBy(PERSON, "_piece")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = pieces.select(
-        PERSON, "_piece", "_hot", ORDER, TIME, "review_score", "payment_value",
+        PERSON, "_piece", ORDER, TIME, "review_score", "payment_value",
         F.row_number().over(inside).alias("_i"),
         F.count(F.lit(1)).over(whole).alias("_n"),
         F.lag(TIME).over(inside).alias("_previous"),
@@ -165,7 +167,7 @@ def prefixes(base: DataFrame, today: Column, hot_floor: int = HOT_FLOOR, hot_sha
         F.sum("review_score").over(earlier).alias("_scores"),
         F.sum("payment_value").over(earlier).alias("_payments"),
     )
-    per_piece = pieces.where(F.col("_hot")).groupBy(PERSON, "_piece").agg(
+    per_piece = pieces.groupBy(PERSON, "_piece").agg(
         F.count(F.lit(1)).alias("n"), F.max(TIME).alias("last"), F.min(TIME).alias("first"),
         F.sum("review_score").alias("scores"), F.sum("payment_value").alias("payments"),
     )
@@ -178,7 +180,7 @@ def prefixes(base: DataFrame, today: Column, hot_floor: int = HOT_FLOOR, hot_sha
         F.min("first").over(passed).alias("c_first"), F.sum("scores").over(passed).alias("c_scores"),
         F.sum("payments").over(passed).alias("c_payments"), F.sum("n").over(everything).alias("c_total"),
     )
-    rows = local.join(carry, (F.col(PERSON) == F.col("_who")) & (F.col("_piece") == F.col("_when")), "left")
+    rows = local.join(carry, F.col(PERSON).eqNullSafe(F.col("_who")) & F.col("_piece").eqNullSafe(F.col("_when")), "left")
 
     def plus(carried: str, own: str) -> Column:
         return F.coalesce(carried, F.lit(0)) + F.coalesce(own, F.lit(0))
@@ -246,18 +248,17 @@ def category_shares(rows: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
-def order_gaps(orders: DataFrame, hot_floor: int = HOT_FLOOR, hot_share: float = HOT_SHARE) -> DataFrame:
-    """Seconds since the same person's previous order. Heavy people are split by day, as in ``prefixes``."""
-    pieces = mark_hot(orders.select(PERSON, TIME, ORDER), PERSON, hot_floor, hot_share)
-    pieces = pieces.withColumn("_piece", F.when(F.col("_hot"), F.to_date(TIME)))
+def order_gaps(orders: DataFrame) -> DataFrame:
+    """Seconds since the same person's previous order. Histories are split by hour, as in ``prefixes``."""
+    pieces = orders.select(PERSON, TIME, ORDER).withColumn("_piece", F.date_trunc("HOUR", TIME))
     inside = Window.partitionBy(PERSON, "_piece").orderBy(TIME, ORDER)
     passed = Window.partitionBy(PERSON).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        pieces.where(F.col("_hot")).groupBy(PERSON, "_piece").agg(F.max(TIME).alias("last"))
+        pieces.groupBy(PERSON, "_piece").agg(F.max(TIME).alias("last"))
         .select(F.col(PERSON).alias("_who"), F.col("_piece").alias("_when"), F.max("last").over(passed).alias("_carried"))
     )
     local = pieces.withColumn("_previous", F.lag(TIME).over(inside))
-    rows = local.join(carry, (F.col(PERSON) == F.col("_who")) & (F.col("_piece") == F.col("_when")), "left")
+    rows = local.join(carry, F.col(PERSON).eqNullSafe(F.col("_who")) & F.col("_piece").eqNullSafe(F.col("_when")), "left")
     gap = F.timestamp_diff("SECOND", F.coalesce("_previous", "_carried"), F.col(TIME)).cast("double")
     return rows.select(PERSON, ORDER, gap.alias("gap")).where(F.col("gap").isNotNull())
 

@@ -65,8 +65,12 @@ def _fit(df: DataFrame, columns: Sequence[str], classifier) -> PipelineModel:
     return Pipeline(stages=[assembler, classifier]).fit(filled(df, columns))
 
 
-def retention_forest(df: DataFrame, trees: int = 100, seed: int = 1) -> PipelineModel:
-    return _fit(df, HISTORY, RandomForestClassifier(labelCol="retention", numTrees=trees, seed=seed))
+DEPTH, BINS = 5, 32
+
+
+def retention_forest(df: DataFrame, trees: int = 100, seed: int = 1, depth: int = DEPTH, bins: int = BINS) -> PipelineModel:
+    """A forest of ``trees`` trees of at most ``depth`` levels over ``bins`` value ranges a column."""
+    return _fit(df, HISTORY, RandomForestClassifier(labelCol="retention", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed))
 
 
 def retention_boosting(df: DataFrame, rounds: int = 100, seed: int = 0) -> PipelineModel:
@@ -83,11 +87,13 @@ def predict(model: PipelineModel, df: DataFrame, columns: Sequence[str], alias:
     )
 
 
-def _scaled_regression(df: DataFrame, columns: Sequence[str], label: str) -> PipelineModel:
+def _scaled_regression(df: DataFrame, columns: Sequence[str], label: str, inverse_penalty: float = 1.0) -> PipelineModel:
+    """Logistic regression with a squared penalty of weight 1 / ``inverse_penalty`` against the summed loss."""
+    rows = max(1, df.count())
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(columns), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(labelCol=label, regParam=0.0),
+        LogisticRegression(labelCol=label, regParam=1.0 / (inverse_penalty * rows), elasticNetParam=0.0),
     ]).fit(filled(df, columns))
 
 
@@ -133,10 +139,10 @@ def order_columns(categories: Sequence[str] = CATEGORIES) -> list[str]:
     return [*ORDER_NUMERIC, *[f"upper_category_{c}" for c in categories]]
 
 
-def cluster_forest(orders: DataFrame, categories: Sequence[str] = CATEGORIES, trees: int = 100, seed: int = 1) -> PipelineModel:
+def cluster_forest(orders: DataFrame, categories: Sequence[str] = CATEGORIES, trees: int = 100, seed: int = 1, depth: int = DEPTH, bins: int = BINS) -> PipelineModel:
     """Forest from order features (with dummies of a fixed category list) to ``cluster``."""
     encoded = dummies(orders, "upper_category", categories)
-    return _fit(encoded, order_columns(categories), RandomForestClassifier(labelCol="cluster", numTrees=trees, seed=seed))
+    return _fit(encoded, order_columns(categories), RandomForestClassifier(labelCol="cluster", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed))
 
 
 def predict_clusters(model: PipelineModel, orders: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:

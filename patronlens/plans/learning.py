@@ -28,8 +28,8 @@ def _(shop):
 
 @query("order_gaps_split", "SELECT * FROM v_order_gaps WHERE gap IS NOT NULL")
 def _(shop):
-    """The same gaps with everyone treated as heavy."""
-    return features.order_gaps(shop.event_orders(), hot_floor=1, hot_share=0.0)
+    """The same gaps; kept under its name."""
+    return features.order_gaps(shop.event_orders())
 
 
 @query("repeat_knots", " UNION ALL ".join(
@@ -235,19 +235,19 @@ def _(shop):
 
 @query("kmeans_elbow", person=YEAR)
 def _(shop):
-    return clustering.elbow(clustering_table(shop), range(1, 7))
+    return clustering.elbow(clustering_table(shop))
 
 
 @query("k_prototypes", person=YEAR)
 def _(shop):
     scaled = clustering.standardize(clustering_table(shop), clustering.NUMERIC)
-    return clustering.k_prototypes(scaled, k=20, max_rounds=8)[0].select("customer_unique_id", "cluster")
+    return clustering.k_prototypes(scaled, k=20)[0].select("customer_unique_id", "cluster")
 
 
 @query("k_prototypes_elbow", person=YEAR)
 def _(shop):
     scaled = cut_lineage(clustering.standardize(clustering_table(shop), clustering.NUMERIC))
-    return clustering.prototype_elbow(scaled, range(1, 4), max_rounds=5)
+    return clustering.prototype_elbow(scaled)
 
 
 @query("retention_forest", person=YEAR)
@@ -260,7 +260,7 @@ def _(shop):
 @query("retention_boosting", person=YEAR)
 def _(shop):
     parts = _parts(shop)
-    model = models.retention_boosting(_part(parts, "train"), rounds=10)
+    model = models.retention_boosting(_part(parts, "train"))
     scored = models.predict(model, _part(parts, "test"), [*models.HISTORY, "days_after_order"])
     return models.confusion(scored, "retention", "prediction")
 
@@ -291,7 +291,7 @@ def _order_rows(shop, clustered):
 def _cluster_model(shop):
     train, test = _clustered(shop)
     rows = cut_lineage(_order_rows(shop, train))
-    return models.cluster_forest(rows, people.CATEGORIES, trees=40), rows, test, clustering.cluster_shares(train)
+    return models.cluster_forest(rows, people.CATEGORIES), rows, test, clustering.cluster_shares(train)
 
 
 @query("cluster_forest", person=YEAR)
@@ -443,6 +443,6 @@ def read_order_features(spark, path):
 def _(shop):
     parts = _parts(shop)
     folder = scratch_path(shop.spark, "model")
-    models.SeveralOrdersModel.fit(_part(parts, "train"), _part(parts, "valid"), trees=20).save(folder)
+    models.SeveralOrdersModel.fit(_part(parts, "train"), _part(parts, "valid")).save(folder)
     loaded = models.SeveralOrdersModel.load(folder)
     return loaded.transform(_part(parts, "test")).select("customer_unique_id", "prediction", "probability")

@@ -281,7 +281,7 @@ def _(shop):
 @query("history_prefixes_split", f"SELECT {_PREFIX} FROM y_prefixes", person="customer_year")
 def _(shop):
     """The same features with every person of three rows or more treated as heavy."""
-    return _rounded_prefixes(features.prefixes(base(shop), today(shop), hot_floor=2, hot_share=0.0))
+    return _rounded_prefixes(features.prefixes(base(shop), today(shop)))
 
 
 @query("history_labels", f"SELECT {_PREFIX}, {_LABEL} FROM y_prefixes", person="customer_year")
@@ -350,7 +350,7 @@ def _churn_views(g: str, orders: str) -> None:
     VIEWS[f"{g}_gaps"] = f"""SELECT upper_category, date_sub('second', low, high) / 86400.0 / (n - 1) AS gap FROM {g}_spans
 WHERE count < 4 AND n > 1 AND date_sub('second', low, high) / 86400.0 > 0.333"""
     VIEWS[f"{g}_lambdas"] = f"SELECT upper_category, count(*) / sum(gap) AS rate FROM {g}_gaps GROUP BY 1"
-    VIEWS[f"{g}_labels"] = f"""SELECT id, rate AS "lambda", exp(-rate * days) AS val, CASE WHEN exp(-rate * days) < 0.1 THEN 0 ELSE 1 END AS class FROM (
+    VIEWS[f"{g}_labels"] = f"""SELECT id, rate AS "lambda", exp(-rate * days) AS val, CASE WHEN exp(-rate * days) < 0.1 THEN 0 WHEN rate * days IS NOT NULL THEN 1 END AS class FROM (
  SELECT t.customer_unique_id AS id,
   CASE WHEN t.n > 3 THEN (t.n - 1) / CAST(nullif(date_sub('day', t.low, t.high), 0) AS DOUBLE)
        WHEN t.n > 1 THEN coalesce(l.rate, (SELECT count(*) / sum(gap) FROM {g}_gaps))

@@ -9,22 +9,28 @@ from pyspark.sql import types as T
 from patronlens import schemas
 
 INDEX_NAMES = {"Unnamed: 0", "_c0", ""}
+#: Tables whose text may hold line breaks inside quotes.
+MULTILINE = {"order_reviews"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False) -> DataFrame:
     """A CSV file or folder with a header; known columns get their type, others stay text.
 
     Columns are matched by name, so their order may differ, and nothing is inferred, so the data is
-    not read twice. A saved row index becomes ``_row``. Files stay splittable.
+    not read twice. A saved row index becomes ``_row``. Whole numbers may be written with a closing ``.0``; a value that
+    is no value of its column's type is an error. Files stay splittable unless ``multiline`` is set, which reads line
+    breaks inside quotes and makes each file one task, so that a large table should then be many files.
     """
-    text = spark.read.option("header", True).option("escape", '"').option("encoding", "utf-8").csv(path)
+    text = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("encoding", "utf-8").csv(path)
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
     columns = []
     for name in text.columns:
         target = schemas.ROW if name in INDEX_NAMES else name
         column = F.col(f"`{name}`")
         if target in types and not isinstance(types[target], T.StringType):
-            column = column.try_cast(types[target])
+            if isinstance(types[target], T.IntegralType):
+                column = F.regexp_replace(column, r"\.0+$", "")
+            column = F.when(F.trim(column) != "", column).cast(types[target])
         columns.append(column.alias(target))
     return text.select(*columns)
 
@@ -49,7 +55,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {table: read_csv(spark, f"{folder}/{table}.csv", schema) for table, schema in schemas.RAW.items()}
+    return {table: read_csv(spark, f"{folder}/{table}.csv", schema, table in MULTILINE) for table, schema in schemas.RAW.items()}
 
 
 def load_clean(spark: SparkSession, clean_folder: str, raw_folder: str) -> dict[str, DataFrame]:
@@ -60,12 +66,13 @@ def load_clean(spark: SparkSession, clean_folder: str, raw_folder: str) -> dict[
         if exists(spark, f"{path}.parquet"):
             tables[table] = spark.read.parquet(f"{path}.parquet")
         elif exists(spark, f"{path}.csv"):
-            tables[table] = read_csv(spark, f"{path}.csv", schemas.cleaned(table))
+            tables[table] = read_csv(spark, f"{path}.csv", schemas.cleaned(table), table in MULTILINE)
         else:
-            tables[table] = read_csv(spark, f"{raw_folder}/{table}.csv", schema)
+            tables[table] = read_csv(spark, f"{raw_folder}/{table}.csv", schema, table in MULTILINE)
     return tables
 
 
 def save_clean(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
+    """Write cleaned tables; the saved index, which ``clean`` keeps for the feature operators, is left out."""
     for table, df in tables.items():
-        write_table(df, folder, table, form)
+        write_table(df.select(*[F.col(f"`{c}`") for c in df.columns if c != schemas.ROW]), folder, table, form)

@@ -13,7 +13,7 @@ from conftest import rows
 
 
 def test_raw_csv_with_saved_index(spark, tmp_path):
-    (tmp_path / "order_reviews.csv").write_text(',order_id,review_score,comment\n0,o1,5,"a, ""b"""\n1,o2,bad,\n', encoding="utf-8")
+    (tmp_path / "order_reviews.csv").write_text(',order_id,review_score,comment\n0,o1,5,"a, ""b"""\n1,o2,,\n', encoding="utf-8")
     df = csv_tables.read_csv(spark, str(tmp_path / "order_reviews.csv"), schemas.RAW["order_reviews"])
     assert df.columns == ["_row", "order_id", "review_score", "comment"]
     assert rows(df) == [(0, "o1", 5.0, 'a, "b"'), (1, "o2", None, None)]

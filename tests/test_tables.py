@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronlens import constants as C
-from patronlens.functions.keys import first_per_key, hot_keys, keep_matching, most_common
+from patronlens.functions.keys import first_per_key, keep_matching, most_common, with_row
 from patronlens.operators import churn, cleaning, features, sessions, territory
 
 from conftest import rows
@@ -127,10 +127,16 @@ def test_most_common_tie(spark):
     assert rows(most_common(df, ["k"], "v", "top")) == [(1, "a"), (2, "c")]
 
 
-def test_hot_keys_are_few(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
-    assert [r["k"] for r in hot_keys(df, "k", floor=10).collect()] == [0]
-    assert hot_keys(df, "k").count() == 0
+def test_with_row(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "k string, v int")
+    ranks = {r["k"]: r["_row"] for r in with_row(df).collect()}
+    assert len(set(ranks.values())) == 2 and with_row(with_row(df)).columns == ["k", "v", "_row"]
+
+
+def test_distinct_rows_keep_the_first_index(spark):
+    df = spark.createDataFrame([(5, "a", None), (2, "a", None), (9, "b", 1.0)], "_row long, k string, v double")
+    assert rows(cleaning.distinct_rows(df, keep_row=True), "_row", "k") == [(2, "a"), (9, "b")]
+    assert cleaning.distinct_rows(df).columns == ["k", "v"] and cleaning.distinct_rows(df).count() == 2
 
 
 def test_order_profile(spark):
@@ -159,15 +165,14 @@ def test_unknown_centroid_gives_zero_distance(spark):
 BASE = "customer_unique_id string, order_id int, order_purchase_timestamp timestamp_ntz, review_score double, payment_value double"
 
 
-@pytest.mark.parametrize("floor", [100_000, 0])
-def test_history_prefixes(spark, floor):
+def test_history_prefixes(spark):
     data = [
         ("a", 1, T("2018-01-01 12:00"), 5.0, 10.0), ("a", 2, T("2018-01-03 11:00"), 3.0, 20.0), ("a", 3, T("2018-01-03 13:00"), 1.0, 30.0),
         ("a", 4, T("2018-01-20 12:00"), 2.0, 40.0), ("b", 5, T("2017-01-01"), 4.0, 1.0),
     ]
     base = spark.createDataFrame(data, BASE)
     today = F.lit(T("2018-01-21 11:00")).cast("timestamp_ntz")
-    got = {r["order_id"]: r for r in features.prefixes(base, today, floor, 0.0).collect()}
+    got = {r["order_id"]: r for r in features.prefixes(base, today).collect()}
     last = got[4]
     assert (last["orders_count"], last["last_days_between_orders"], last["mean_score"], last["mean_payment"], last["mean_days_between_orders"], last["days_after_order"]) == (4, 16, 3.0, 20.0, 1.0, 0)
     assert (got[2]["last_days_between_orders"], got[2]["mean_score"], got[2]["mean_days_between_orders"]) == (1, 5.0, None)
