@@ -137,7 +137,7 @@ def test_large_families_are_cut_without_losing_links(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     whole = {r.doc_id: r.component_id for r in near_duplicates.components(docs, 3, 70).collect()}
-    cut = {r.doc_id: r.component_id for r in near_duplicates.components(docs, 3, 70, piece_shingles=2500).collect()}
+    cut = {r.doc_id: r.component_id for r in near_duplicates.components(docs, 3, 70, piece_shingles=22_000).collect()}
     assert whole == cut and set(whole.values()) == {0}
 
 
