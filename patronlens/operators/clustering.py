@@ -183,14 +183,14 @@ def _mixed_cost(numeric: Sequence[str], category: str, centre: dict, gamma: floa
 
 def k_prototypes(
     table: DataFrame, k: int = 20, gamma: float = 1.0, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY,
-    max_rounds: int = 300, seed: int = 1,
+    max_rounds: int = 300, seed: int = 1, tolerance: float = TOLERANCE,
 ) -> tuple[DataFrame, float]:
     """Clusters of mixed rows and their cost: squared distance plus ``gamma`` per unequal category.
 
     ``numeric`` should be scaled. Each round assigns rows against the ``k`` centres, which are
     literals in the expression, and recomputes means and modes by aggregation; only the centres
-    come to the driver. The start is ``k`` different rows. Rounds go on until the cost stays; a cost that still
-    falls after ``max_rounds`` is an error.
+    come to the driver. The start is ``k`` different rows. Rounds go on until the cost falls by no more than the
+    share ``tolerance``; a cost that still falls more after ``max_rounds`` is an error.
     """
     rows = cut_lineage(complete(table, numeric))
     different = rows.groupBy(*numeric, category).agg(F.min(F.xxhash64(F.col(PERSON), F.lit(seed))).alias("_draw"))
@@ -208,7 +208,7 @@ def k_prototypes(
         means = placed.groupBy("cluster").agg(F.sum("_cost").alias("_cost"), *[F.avg(c).alias(c) for c in numeric])
         found = means.join(most_common(placed, ["cluster"], category, category), "cluster", "left").collect()
         total = sum(r["_cost"] for r in found)
-        if previous is not None and previous - total <= 1e-9 * max(previous, 1.0):
+        if previous is not None and previous - total <= tolerance * previous:
             break
         previous = total
         for r in found:

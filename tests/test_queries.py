@@ -17,7 +17,9 @@ DEFAULT = [
     "clean_orders_items", "state_churn", "anchored_sessions_parity", "one_order_features", "history_prefixes_split",
     "poisson_churn", "clustering_table", "repeat_knots", "csv_raw_tables", "geojson_outlines",
 ]
-NAMES = list(entry.oracle_sql()) if os.environ.get("PATRONLENS_ALL") else DEFAULT
+#: Queries whose right result has no row at this scale.
+EMPTY_AT_THE_SMALLEST: set[str] = set()
+NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")] if os.environ.get("PATRONLENS_ALL") else DEFAULT
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 
@@ -25,7 +27,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     status, _, _, note = compare(spark, FOLDER, name, entry.queries()[name], entry.oracle_sql()[name])
-    assert status in ("ok", "EMPTY"), note
+    assert status == "ok" or status == "EMPTY" and name in EMPTY_AT_THE_SMALLEST, note or status
 
 
 def test_every_oracle_has_a_query():
