@@ -20,7 +20,16 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """A cache that travels empty: functions sent to workers do not carry what the driver has computed."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers: dict[int, np.ndarray] = _Kept()
 
 
 def powers_of(base: int, size: int) -> np.ndarray:
