@@ -89,13 +89,17 @@ def test_packing_round_trip(spark):
     assert {i: encoder.decode(ids[:-1]) for i, ids in back.items()} == texts
 
 
-def test_embedding_links(spark):
-    rows = QUERIES["op8_embedding_near_duplicates"](spark, "/root/testdata/sf0.1").toPandas().set_index("vec_id").sort_index()
-    table = duckdb.connect().execute("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
-    x = np.array([v for _, v in table], dtype=np.float64)
+def test_embedding_links(spark, tmp_path):
+    table = read("SELECT vec_id, embedding FROM '$/embeddings.parquet' ORDER BY vec_id")
+    rng, x = np.random.default_rng(7), np.array([v for _, v in table], dtype=np.float64)
+    near = x[rng.integers(0, 200, 300)]
+    x = np.concatenate([x, near + 0.05 * np.linalg.norm(near, axis=1, keepdims=True) * rng.normal(size=near.shape) / 4])
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = x.astype(np.float32).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     links = x @ x.T >= 0.9
     np.fill_diagonal(links, False)
+    rows = QUERIES["op8_embedding_near_duplicates"](spark, str(tmp_path)).toPandas().set_index("vec_id").sort_index()
     assert rows["n_links"].sum() >= 0.97 * links.sum() > 0 and (rows["n_links"].to_numpy() <= links.sum(axis=1)).all()
     assert rows["audited_recall"].iloc[0] >= 0.9
 
