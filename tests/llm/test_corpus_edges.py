@@ -269,6 +269,38 @@ def test_embedding_edges(spark):
     assert vector_graph.audited(table, vector_graph.near_duplicates(table), queries=1000) > 0.95
 
 
+def test_embedding_links_of_a_dense_region_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=64)
+    middle /= np.linalg.norm(middle)
+    noise = rng.normal(size=(1000, 64)) / 8
+    x = np.concatenate([rng.normal(size=(1200, 64)), middle + 0.26 * noise, middle + 0.5 * rng.normal(size=(300, 64)) / 8])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    group = np.arange(len(x))
+    while True:
+        least = np.minimum(group, np.where(links, group[None, :], len(x)).min(axis=1))
+        if (least == group).all():
+            break
+        group = least
+    for shard in (90, 1 << 20):
+        got = vector_graph.near_duplicates(table, shard=shard).toPandas().sort_values("vec_id")
+        assert (got["n_links"].to_numpy() == links.sum(axis=1)).all() and (got["component_id"].to_numpy() == group).all()
+
+
+def test_embedding_cells_lose_no_link_across_borders(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_graph.near_duplicates(table, shard=60).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() == links.sum(axis=1)).all()
+
+
 def test_url_edges(spark):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM?x", "HTTP://www.example.com/en/a?utm_source=q", "https://x.net/es/y", "https://net/fr/", "ftp://evil.org/p/?ref=1#f", "ftp://evil.org/p/?ref=1#f", "http://evilcom/"]
     pages = spark.createDataFrame([(i, u, "mine", "k") for i, u in enumerate(urls)], "page_id int, url string, verdict string, name string")
