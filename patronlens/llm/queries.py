@@ -211,6 +211,6 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = table(spark, folder, "embeddings")
     found = cut_lineage(vector_graph.near_duplicates(embeddings))
-    recall = vector_graph.audited(embeddings, found)
+    recall, links = vector_graph.audit(embeddings, found)
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    return found.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), F.lit(recall).alias("audited_recall"))
+    return found.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), F.lit(recall).cast("double").alias("audited_recall"), F.lit(links).cast("long").alias("audited_links"))

@@ -301,6 +301,13 @@ def test_embedding_cells_lose_no_link_across_borders(spark):
     assert (got["n_links"].to_numpy() == links.sum(axis=1)).all()
 
 
+def test_embedding_audit_without_links_is_no_evidence(spark):
+    table = spark.createDataFrame([(i, [float(i == k) for k in range(8)]) for i in range(8)], "vec_id long, embedding array<double>")
+    assert vector_graph.audit(table, vector_graph.near_duplicates(table), queries=1000) == (None, 0)
+    twice = table.unionByName(table.selectExpr("vec_id + 8 AS vec_id", "embedding"))
+    assert vector_graph.audit(twice, vector_graph.near_duplicates(twice), queries=1000) == (1.0, 16)
+
+
 def test_url_edges(spark):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM?x", "HTTP://www.example.com/en/a?utm_source=q", "https://x.net/es/y", "https://net/fr/", "ftp://evil.org/p/?ref=1#f", "ftp://evil.org/p/?ref=1#f", "http://evilcom/"]
     pages = spark.createDataFrame([(i, u, "mine", "k") for i, u in enumerate(urls)], "page_id int, url string, verdict string, name string")
