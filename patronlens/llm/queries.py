@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, language, lm_scoring, mixing, near_duplicates, packing, toxicity, url_filter, vector_graph, warc_fixity
+from patronlens.llm import decontamination, filter_audit, language, lm_scoring, mixing, near_duplicates, packing, toxicity, url_filter, vector_graph, warc_fixity
 from patronlens.llm.common import remainder, table
 from patronlens.session import cut_lineage
 
@@ -214,3 +214,40 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     recall, links = vector_graph.audit(embeddings, found)
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
     return found.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"), F.lit(recall).cast("double").alias("audited_recall"), F.lit(links).cast("long").alias("audited_links"))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM docs GROUP BY t),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > least THEN 16 ELSE 0 END AS mask
+    FROM docs d JOIN firsts USING (t) LEFT JOIN marks m ON d.doc_id = m.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY 1, 2),
+letters(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM letters p, letters q, letters r, letters s, letters t
+    WHERE p.b + q.b + r.b + s.b + t.b = 31 AND list_unique([p.b, q.b, r.b, s.b, t.b]) = 5),
+steps AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM orders, range(1, 6) x(step)),
+cells AS (
+    SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counts, (SELECT filter_order, CAST(step AS INT) AS step, CAST(own AS INT) AS own, CAST(before AS INT) AS before FROM steps) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM cells
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    flags = filter_audit.flagged(table(spark, folder, "documents"))
+    return filter_audit.audit(filter_audit.mask_counts(flags, table(spark, folder, "labels")))
