@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, filter_audit, language, lm_scoring, mixing, near_duplicates, packing, toxicity, url_filter, vector_graph, warc_fixity
+from patronlens.llm import byte_network, decontamination, filter_audit, language, lm_scoring, mixing, near_duplicates, packing, phrases, toxicity, url_filter, vector_graph, warc_fixity
 from patronlens.llm.common import remainder, table
 from patronlens.session import cut_lineage
 
@@ -251,3 +251,39 @@ FROM cells
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     flags = filter_audit.flagged(table(spark, folder, "documents"))
     return filter_audit.audit(filter_audit.mask_counts(flags, table(spark, folder, "labels")))
+
+
+PHRASES_SQL = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), {A_TO_Z}), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents),
+grams AS (SELECT lang, m, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM pieces, range(1, 4) x(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scores AS (
+    SELECT c.lang, c.m, c.phrase, a, k, p.f AS l, q.f AS r, 1000000::HUGEINT * a * a // (p.f::HUGEINT * q.f) AS score
+    FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = x JOIN f q ON q.lang = c.lang AND q.phrase = y),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, phrase, max(a) AS around FROM (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE m = 3) GROUP BY 1, 2),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inside i ON s.lang = i.lang AND s.phrase = i.phrase WHERE coalesce(100 * around < 50 * a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT t.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked k JOIN totals t ON k.lang = t.lang WHERE rank <= 2000
+"""
+
+
+@query("op12_phrases", PHRASES_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents")).withColumnRenamed("part", "lang")
+
+
+@query("op13_quality")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = byte_network.fit(documents, labels.where(remainder(F.col("doc_id"), 5) != 0))
+    held_out = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return byte_network.score(documents.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
