@@ -130,6 +130,14 @@ def complete(table: DataFrame, numeric: Sequence[str] = NUMERIC, category: str =
     return filled.withColumn(f"_{category}", F.coalesce(F.nullif(F.col(category), F.lit("")), F.lit("unmapped")))
 
 
+def unit_points(table: DataFrame, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY, id_col: str = PERSON) -> DataFrame:
+    """``id``, ``cat`` and the completed numbers over their range as ``x0, x1, ...``; a constant column gives 0."""
+    rows = complete(table, numeric, category)
+    ends = rows.agg(F.struct(*[F.struct(F.min(c).alias("low"), F.nullif(F.max(c) - F.min(c), F.lit(0.0)).alias("span")).alias(c) for c in numeric])).scalar()
+    scaled = [F.coalesce((F.col(c) - ends[c]["low"]) / ends[c]["span"], F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(numeric)]
+    return rows.select(F.col(id_col).alias("id"), F.col(f"_{category}").alias("cat"), *scaled)
+
+
 ITERATIONS, TOLERANCE = 300, 1e-4
 
 
