@@ -14,6 +14,11 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.floor(micros / F.lit(86_400_000_000)).cast("int")
 
 
+def draw(value: Column, seed: int) -> Column:
+    """A number from 0 to 2^60 that depends on the text of ``value`` and the seed alone: 60 bits of md5 of ``seed:value``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), value.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def span_days(start: Column, end: Column) -> Column:
     """Days from ``start`` to ``end`` as a fraction, counted in whole seconds."""
     return F.timestamp_diff("SECOND", start, end) / F.lit(86_400.0)

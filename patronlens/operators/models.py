@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronlens import constants as C
+from patronlens.functions.expressions import draw
 from patronlens.functions.order_stats import smallest_by_hash
 from patronlens.operators.clustering import dummies
 from patronlens.operators.sessions import PERSON
@@ -30,7 +31,7 @@ ABSENT = -1.0
 
 
 def _bucket(column: str, seed: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(size))
+    return draw(F.col(column), seed) % size
 
 
 def stratified_split(df: DataFrame, label: str, share: float = 0.8, id_col: str = PERSON, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patronlens.functions.order_stats import exact_quantiles, running_total, smallest_by_hash
+from patronlens.functions.order_stats import exact_quantiles, narrowed, running_total, smallest_by_hash
 
 PROBS = [0.0, 0.25, 0.33, 0.66, 0.75, 1.0]
 
@@ -67,3 +67,27 @@ def test_smallest_by_hash_is_exact_and_repeatable(spark):
     assert smallest_by_hash(df, "id", F.lit(17)).count() == 17
     assert smallest_by_hash(df, "id", F.lit(99_999)).count() == 5000
     assert smallest_by_hash(df, "id", F.lit(17), seed=2).exceptAll(smallest_by_hash(df, "id", F.lit(17))).count() > 0
+
+
+def test_quantiles_of_a_million_values_in_bounded_windows(spark):
+    """One group of 10^6 different values beside small ones, at most 1,000 values a window."""
+    hot = spark.range(1_000_000).select(F.lit("hot").alias("k"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    small = frame(spark, {"few": [3.0, 1.0], "ties": [2.0] * 1500})
+    got = {r["k"]: r["q"] for r in exact_quantiles(hot.unionByName(small), "v", PROBS, ["k"], accuracy=100).collect()}
+    np.testing.assert_allclose(got["hot"], np.quantile(np.arange(1_000_000, dtype=float) ** 2, PROBS), rtol=1e-12)
+    np.testing.assert_allclose(got["few"], np.quantile([3.0, 1.0], PROBS))
+    assert got["ties"] == [2.0] * len(PROBS)
+
+
+def test_brackets_shrink_to_the_bound(spark):
+    rng = random.Random(6)
+    values = [rng.random() for _ in range(20_000)] + [0.5] * 4000
+    counts = frame(spark, {"a": values, "b": values[:50]}).groupBy("k", "v").agg(F.count("*").alias("_c")).withColumnRenamed("v", "_v")
+    for low in (0, 777, 12_000, 23_999):
+        start = counts.withColumns({"_low": F.when(F.col("k") == "a", low).otherwise(7).cast("long")}).withColumn("_high", F.col("_low") + F.when(F.col("_low") < 23_999, 1).otherwise(0))
+        left = narrowed(start.select("k", "_low", "_high", "_v", "_c"), ["k"], 100)
+        sizes = {r["k"]: r["count"] for r in left.groupBy("k").count().collect()}
+        assert sizes["a"] <= 200 and sizes["b"] == 50
+        kept = left.where("k = 'a'").orderBy("_v").collect()
+        spread = [r["_v"] for r in kept for _ in range(r["_c"])]
+        assert spread[kept[0]["_low"]] == sorted(values)[low]
