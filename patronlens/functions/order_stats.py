@@ -35,8 +35,10 @@ def exact_quantiles(
     keys, bound = list(keys), 10 * accuracy
     margin = 4.0 / accuracy
     cuts = [min(max(p + sign * margin, 0.0), 1.0) for p in probs for sign in (-1, 1)]
-    names = [f"_k{i}" for i in range(len(keys))]
-    rows = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).cast("double").alias("_v"))
+    # Without keys all rows have one, a constant; it is never shuffled on before rows are counted.
+    names = [f"_k{i}" for i in range(len(keys))] or ["_k"]
+    named = [F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(0).alias("_k")]
+    rows = df.where(F.col(value).isNotNull()).select(*named, F.col(value).cast("double").alias("_v"))
     sketch = cut_lineage(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.expr(
         f"IF(count(1) > {bound}, percentile_approx(_v, array({', '.join(f'{c!r}D' for c in cuts)}), {accuracy}), NULL)"
     ).alias("_cuts")))
@@ -67,7 +69,7 @@ def exact_quantiles(
 def _joined(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     """An inner join on ``names`` in which null matches null."""
     renamed = right.withColumnsRenamed({n: f"{n}_right" for n in names})
-    joined = left.join(renamed, [F.col(n).eqNullSafe(F.col(f"{n}_right")) for n in names], "inner") if names else left.crossJoin(renamed)
+    joined = left.join(renamed, [F.col(n).eqNullSafe(F.col(f"{n}_right")) for n in names], "inner")
     return joined.drop(*[f"{n}_right" for n in names])
 
 

@@ -190,8 +190,3 @@ def confusion(predicted: DataFrame, label: str, prediction: str, values: Sequenc
     """Rows per true label, one column per predicted label."""
     wide = predicted.groupBy(label).pivot(prediction, list(values)).agg(F.count(F.lit(1)))
     return wide.select(F.col(label).alias("label"), *[F.coalesce(str(v), F.lit(0)).alias(f"predicted_{v}") for v in values])
-
-
-def page(df: DataFrame, order: Sequence[str], number: int = 0, size: int = 20) -> DataFrame:
-    """Page ``number`` of the table; ``order`` must be a total order."""
-    return df.orderBy(*order).offset(number * size).limit(size)

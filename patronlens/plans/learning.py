@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patronlens import schemas
+from patronlens.functions import paging
 from patronlens.operators import churn, cleaning, clustering, features, models, rfm, sessions
 from patronlens.plans import people, tables
 from patronlens.plans.registry import query
@@ -164,7 +165,13 @@ def _(shop):
 @query("table_page", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 60")
 def _(shop):
     rows = shop.source("orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return models.page(rows, [F.col("o_totalprice").desc(), F.col("o_orderkey")], number=3)
+    return paging.page(rows, [("o_totalprice", True), "o_orderkey"], number=3)
+
+
+@query("table_page_deep", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 1200")
+def _(shop):
+    rows = shop.source("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return paging.page(rows, [("o_totalprice", True), "o_orderkey"], number=60, bound=500)
 
 
 @query("older_members", """SELECT order_id, upper_category, time_delta FROM (SELECT order_id, upper_category,

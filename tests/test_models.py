@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,11 +130,3 @@ def test_scoring_keeps_columns_fixed(spark):
     held = models.predict_clusters(model, df).withColumn("class", 1 - F.col("cluster"))
     stage = models.share_regression(held, shares)
     assert models.accuracy(models.predict(stage, models.with_share(held, shares), ["time_delta", "rfc"]), "class").first()[0] == 1.0
-
-
-def test_pages_cover_the_table_once(spark):
-    df = spark.range(45).withColumn("x", F.col("id") % 5)
-    pages = [[r["id"] for r in models.page(df, ["x", "id"], k).collect()] for k in range(4)]
-    assert [len(p) for p in pages] == [20, 20, 5, 0]
-    assert sorted(sum(pages, [])) == list(range(45)) and pages[0][:3] == [0, 5, 10]
-    assert np.all(np.diff([i % 5 for i in sum(pages, [])]) >= 0)
