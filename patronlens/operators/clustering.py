@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patronlens.functions.keys import most_common
@@ -189,45 +190,109 @@ def _mixed_cost(numeric: Sequence[str], category: str, centre: dict, gamma: floa
     return cost
 
 
-def k_prototypes(
-    table: DataFrame, k: int = 20, gamma: float = 1.0, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY,
-    max_rounds: int = 300, seed: int = 1, tolerance: float = TOLERANCE,
-) -> tuple[DataFrame, float]:
-    """Clusters of mixed rows and their cost: squared distance plus ``gamma`` per unequal category.
+class Prototypes(NamedTuple):
+    """Centres of mixed rows, what the fitted rows cost around them, and the rounds it took until no row moved."""
 
-    ``numeric`` should be scaled. Each round assigns rows against the ``k`` centres, which are
-    literals in the expression, and recomputes means and modes by aggregation; only the centres
-    come to the driver. The start is ``k`` different rows. Rounds go on until the cost falls by no more than the
-    share ``tolerance``; a cost that still falls more after ``max_rounds`` is an error.
+    centres: list[dict]
+    cost: float
+    rounds: int
+
+
+def _frequent_start(rows: DataFrame, k: int, numeric: Sequence[str], category: str, draw: Column) -> list[dict]:
+    """Centres dealt to categories by how frequent they are, each another row of its category.
+
+    Seats go one by one to the category with the most rows per seat, so at most the ``k`` most frequent
+    ones matter. A category with fewer different rows than seats leaves some unfilled.
     """
-    rows = cut_lineage(complete(table, numeric))
-    different = rows.groupBy(*numeric, category).agg(F.min(F.xxhash64(F.col(PERSON), F.lit(seed))).alias("_draw"))
-    start = different.orderBy("_draw", *numeric, category).select(*numeric, category).limit(k).collect()
-    centres = [r.asDict() for r in start]
-    previous = None
-    for _ in range(max_rounds):
-        costs = F.array(*[
-            F.struct(_mixed_cost(numeric, category, c, gamma).alias("cost"), F.lit(i).alias("cluster"))
-            for i, c in enumerate(centres)
-        ])
-        placed = rows.withColumn("_best", F.array_min(costs)).withColumns(
-            {"cluster": F.col("_best.cluster"), "_cost": F.col("_best.cost")}
-        )
-        means = placed.groupBy("cluster").agg(F.sum("_cost").alias("_cost"), *[F.avg(c).alias(c) for c in numeric])
+    frequent = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), category).limit(k).collect()
+    seats = dict.fromkeys(range(len(frequent)), 0)
+    for _ in range(min(k, sum(r["n"] for r in frequent))):
+        most = max(seats, key=lambda i: (frequent[i]["n"] / (seats[i] + 1), -i))
+        seats[most] += 1
+    dealt = {frequent[i][category]: n for i, n in seats.items() if n}
+    different = rows.groupBy(*numeric, category).agg(draw.alias("_draw"))
+    place = F.row_number().over(Window.partitionBy(category).orderBy("_draw", *numeric))
+    first = different.withColumn("_place", place).where(F.col("_place") <= k)
+    inside = F.lit(False)
+    for name, n in dealt.items():
+        inside = inside | (F.col(category).eqNullSafe(F.lit(name)) & (F.col("_place") <= n))
+    return [r.asDict() for r in first.where(inside).orderBy("_draw", *numeric, category).select(*numeric, category).collect()]
+
+
+def _drawn_start(rows: DataFrame, k: int, numeric: Sequence[str], category: str, draw: Column) -> list[dict]:
+    """``k`` different rows by a hash of the person."""
+    different = rows.groupBy(*numeric, category).agg(draw.alias("_draw"))
+    return [r.asDict() for r in different.orderBy("_draw", *numeric, category).select(*numeric, category).limit(k).collect()]
+
+
+def _nearest_centre(centres: Sequence[dict], numeric: Sequence[str], category: str, gamma: float) -> Column:
+    """``cost`` and ``cluster`` of the cheapest centre, the first of several."""
+    return F.array_min(F.array(*[
+        F.struct(_mixed_cost(numeric, category, c, gamma).alias("cost"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)
+    ]))
+
+
+def _settled(rows: DataFrame, centres: list[dict], numeric: Sequence[str], category: str, gamma: float, max_rounds: int) -> Prototypes:
+    """Rounds of assignment and new centres until no row changes its cluster."""
+    before = None
+    for number in range(1, max_rounds + 1):
+        placed = rows.withColumn("_best", _nearest_centre(centres, numeric, category, gamma))
+        moved = F.lit(1) if before is None else (F.col("_best.cluster") != _nearest_centre(before, numeric, category, gamma)["cluster"]).cast("int")
+        placed = placed.withColumns({"cluster": F.col("_best.cluster"), "_cost": F.col("_best.cost"), "_moved": moved})
+        means = placed.groupBy("cluster").agg(F.sum("_cost").alias("_cost"), F.sum("_moved").alias("_moved"), *[F.avg(c).alias(c) for c in numeric])
         found = means.join(most_common(placed, ["cluster"], category, category), "cluster", "left").collect()
-        total = sum(r["_cost"] for r in found)
-        if previous is not None and previous - total <= tolerance * previous:
-            break
-        previous = total
+        if sum(r["_moved"] for r in found) == 0:
+            return Prototypes(centres, sum(r["_cost"] for r in found), number)
+        before, centres = centres, list(centres)
         for r in found:
             centres[r["cluster"]] = {c: r[c] for c in [*numeric, category]}
-    else:
-        raise RuntimeError(f"the cost still falls after {max_rounds} rounds")
-    return placed.select(*table.columns, "cluster"), total
+    raise RuntimeError(f"rows still change their cluster after {max_rounds} rounds")
+
+
+def fit_prototypes(
+    table: DataFrame, k: int = 20, gamma: float = 1.0, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY, max_rounds: int = 300, seed: int = 1,
+) -> Prototypes:
+    """The cheaper of two fits: from centres dealt by category frequency, and from rows drawn at random.
+
+    ``numeric`` should be scaled. Each round assigns rows against the ``k`` centres, which are literals in
+    the expression, recomputes means and modes by aggregation, and counts the rows whose cluster is another
+    than under the centres before, so no labels are kept; only the centres come to the driver. Without rows
+    there are no centres.
+    """
+    rows = cut_lineage(complete(table, numeric, category).select(PERSON, *numeric, category))
+    draw = F.min(F.xxhash64(F.col(PERSON), F.lit(seed)))
+    drawn = _drawn_start(rows, k, numeric, category, draw)
+    if not drawn:
+        return Prototypes([], 0.0, 0)
+    dealt = _frequent_start(rows, k, numeric, category, draw)
+    dealt += [c for c in drawn if c not in dealt][: len(drawn) - len(dealt)]
+    fits = [_settled(rows, start, numeric, category, gamma, max_rounds) for start in (dealt, drawn)]
+    return min(fits, key=lambda f: f.cost)
+
+
+def assign_prototypes(table: DataFrame, model: Prototypes, gamma: float = 1.0, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY) -> DataFrame:
+    """``table`` with the ``cluster`` of its cheapest centre; also the way held-out rows get one. Null without centres."""
+    if not model.centres:
+        return table.withColumn("cluster", F.lit(None).cast("int"))
+    placed = complete(table, numeric, category).withColumn("cluster", _nearest_centre(model.centres, numeric, category, gamma)["cluster"])
+    kept = placed.select(F.struct(*[F.col(c) for c in table.columns if c not in numeric]).alias("_row"), "cluster", *numeric)
+    return kept.select(*[F.col(c) if c in numeric else F.col(f"_row.{c}").alias(c) for c in table.columns], "cluster")
+
+
+def prototype_centres(spark: SparkSession, model: Prototypes, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY) -> DataFrame:
+    """``cluster``, the numbers and the category of every centre."""
+    data = [(i, *[float(c[n]) for n in numeric], c[category]) for i, c in enumerate(model.centres)]
+    return spark.createDataFrame(data, ", ".join(["cluster int", *[f"`{n}` double" for n in numeric], f"`{category}` string"]))
+
+
+def k_prototypes(table: DataFrame, k: int = 20, gamma: float = 1.0, numeric: Sequence[str] = NUMERIC, category: str = CATEGORY, max_rounds: int = 300, seed: int = 1) -> tuple[DataFrame, float]:
+    """Clusters of mixed rows and their cost: squared distance plus ``gamma`` per unequal category."""
+    model = fit_prototypes(table, k, gamma, numeric, category, max_rounds, seed)
+    return assign_prototypes(table, model, gamma, numeric, category), model.cost
 
 
 def prototype_elbow(table: DataFrame, ks: Sequence[int] = tuple(range(1, 8)), **options) -> DataFrame:
-    costs = [(k, float(k_prototypes(table, k, **options)[1])) for k in ks]
+    costs = [(k, float(fit_prototypes(table, k, **options).cost)) for k in ks]
     return table.sparkSession.createDataFrame(costs, "k int, cost double")
 
 

@@ -184,3 +184,49 @@ def test_ward_of_few_rows(spark):
     few = mixed_frame(spark, [(1, 0.0, None, 0.0, None, None), (2, 9.0, 1.0, 0.0, "a", None)])
     assert rows(linkage.ward_clusters(few, 3, COLUMNS, "cat", "id"), "id", "cluster") == [(1, 1), (2, 2)]
     assert linkage.ward_clusters(few.where("id > 5"), 3, COLUMNS, "cat", "id").count() == 0
+
+
+def plain_prototypes(data, centres, gamma):
+    """Rounds of nearest centre, means and modes over (numbers, category) rows until no row moves; labels and cost."""
+    labels = None
+    while True:
+        cost = np.array([[sum((p[c] - m[c]) ** 2 for c in range(3)) + gamma * (p[3] != m[3]) for m in centres] for p in data])
+        found = cost.argmin(axis=1)
+        if labels is not None and (found == labels).all():
+            return labels, cost.min(axis=1).sum()
+        labels = found
+        for g in range(len(centres)):
+            mine = [p for p, at in zip(data, labels) if at == g]
+            if mine:
+                kinds = [p[3] for p in mine]
+                centres[g] = (*[np.mean([p[c] for p in mine]) for c in range(3)], min(set(kinds), key=lambda x: (-kinds.count(x), x)))
+
+
+def test_prototypes_settle_as_the_plain_rounds_do(spark):
+    rng = random.Random(10)
+    data = [(f"p{i}", rng.gauss(i % 3, 0.8), rng.gauss(0, 1), rng.random(), rng.choices("abc", [6, 3, 1])[0]) for i in range(150)]
+    people = spark.createDataFrame(data, "customer_unique_id string, x double, y double, z double, cat string")
+    model = clustering.fit_prototypes(people, 5, 1.0, COLUMNS)
+    placed = {r["customer_unique_id"]: r["cluster"] for r in clustering.assign_prototypes(people, model, 1.0, COLUMNS).collect()}
+    centres = [(*[c[n] for n in COLUMNS], c["cat"]) for c in model.centres]
+    labels, cost = plain_prototypes([p[1:] for p in data], list(centres), 1.0)
+    assert [placed[p[0]] for p in data] == labels.tolist() and model.cost == pytest.approx(cost)
+    table = clustering.prototype_centres(spark, model, COLUMNS).toPandas()
+    assert list(table.columns) == ["cluster", *COLUMNS, "cat"] and len(table) == 5
+    rows_ = clustering.complete(people, COLUMNS)
+    draw = clustering.F.min(clustering.F.xxhash64("customer_unique_id", clustering.F.lit(1)))
+    start = clustering._drawn_start(rows_, 5, COLUMNS, "cat", draw)
+    assert model.cost <= clustering._settled(rows_, start, COLUMNS, "cat", 1.0, 300).cost + 1e-9
+    dealt = [c["cat"] for c in clustering._frequent_start(rows_, 5, COLUMNS, "cat", draw)]
+    counts = {c: sum(p[4] == c for p in data) for c in "abc"}
+    assert len(dealt) == 5 and dealt.count("a") >= dealt.count("b") >= dealt.count("c") and dealt.count("a") >= 5 * counts["a"] // 150
+    held_out = clustering.assign_prototypes(people.where("x > 100"), model, 1.0, COLUMNS)
+    assert held_out.count() == 0 and held_out.columns[-1] == "cluster"
+
+
+def test_prototypes_of_few_equal_and_no_rows(spark):
+    few = spark.createDataFrame([("a", 1.0, 1.0, None, None), ("b", 1.0, 1.0, None, None), ("c", 2.0, 0.0, 0.0, "x")], "customer_unique_id string, x double, y double, z double, cat string")
+    clustered, cost = clustering.k_prototypes(few, 4, 1.0, COLUMNS)
+    assert cost == 0 and len({r["cluster"] for r in clustered.collect()}) == 2
+    clustered, cost = clustering.k_prototypes(few.where("x > 9"), 4, 1.0, COLUMNS)
+    assert cost == 0 and clustered.count() == 0
