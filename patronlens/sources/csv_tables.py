@@ -35,6 +35,53 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return text.select(*columns)
 
 
+BAD_LINE = "_bad_line"
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV file that fit ``schema``, and those that do not, each with its reasons.
+
+    A row is rejected if it has more or fewer fields than the header, or a field that is no value of its
+    column's type; an empty field is null and fits. The second table has ``reasons`` (``fields``, or ``column: type``)
+    and the row's ``fields`` as JSON. Columns are matched, renamed and read as in ``read_csv``; both tables are lazy.
+    """
+    options = {"header": "true", "multiLine": str(multiline).lower(), "escape": '"', "encoding": "utf-8"}
+    names = spark.read.options(**options).csv(path).columns
+    raw = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(len(names))] + [T.StructField(BAD_LINE, T.StringType())])
+    # All fields are parsed whatever a query reads: only then is a wrong number of them noticed.
+    reader = spark.read.schema(raw).options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+    text = reader.option("columnPruning", "false").option("enforceSchema", "true").csv(path)
+    types = {f.name: f.dataType for f in schema.fields}
+    values, wrong = [], [F.when(F.col(BAD_LINE).isNotNull(), F.lit("fields"))]
+    for i, name in enumerate(names):
+        target, column = schemas.ROW if name in INDEX_NAMES else name, F.col(f"_f{i}")
+        kind = types.get(target)
+        if kind is not None and not isinstance(kind, T.StringType):
+            written = F.when(F.trim(column) != "", column)
+            if isinstance(kind, T.IntegralType):
+                written = F.regexp_replace(written, r"\.0+$", "")
+            column = written.try_cast(kind)
+            wrong.append(F.when(written.isNotNull() & column.isNull(), F.lit(f"{target}: {kind.simpleString()}")))
+        values.append(column.alias(target))
+    reasons = F.array_compact(F.array(*wrong))
+    judged = text.withColumn("reasons", reasons)
+    fields = F.to_json(F.struct(*[F.col(f"_f{i}").alias(n) for i, n in enumerate(names)]))
+    line = F.when(F.col(BAD_LINE).isNotNull(), F.to_json(F.struct(F.col(BAD_LINE).alias("line")))).otherwise(fields)
+    return judged.where(F.size("reasons") == 0).select(*values), judged.where(F.size("reasons") > 0).select("reasons", line.alias("fields"))
+
+
+def load_checked(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The nine raw tables without the rows that do not fit, and these as (``table_name``, ``reason``, ``rows``) counts."""
+    tables, counts = {}, []
+    for table, schema in schemas.RAW.items():
+        tables[table], rejected = read_checked(spark, f"{folder}/{table}.csv", schema, table in MULTILINE)
+        counts.append(rejected.select(F.lit(table).alias("table_name"), F.explode("reasons").alias("reason")))
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.unionByName(more)
+    return tables, every.groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def write_table(df: DataFrame, folder: str, table: str, form: str = "parquet", mode: str = "overwrite") -> str:
     """Write under ``folder`` and return the path; Parquet unless CSV is asked for."""
     path = f"{folder}/{table}.{form}"

@@ -109,3 +109,22 @@ def test_database_writes():
         ("append", "products"), ("append", "orders"), ("append", "orders_items"),
     ]
     assert log[0][1]["truncate"] is True and log[0][1]["user"] == "u" and log[3][1]["batchsize"] == 1_000
+
+
+def test_rows_that_do_not_fit_are_set_apart(spark, tmp_path):
+    for table, schema in schemas.RAW.items():
+        (tmp_path / f"{table}.csv").write_text(",".join(schema.names) + "\n")
+    (tmp_path / "orders_items.csv").write_text(
+        "Unnamed: 0,order_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
+        "0,o1,p1,s1,2017-10-02 10:56:33,1.5,2\n1.0,o2,p1,s1,,,\n2,o3,p1,s1,yesterday,cheap,2\n3,o4,p1\n4,o5,p1,s1,2017-10-02,1,2,9\n"
+    )
+    (tmp_path / "order_reviews.csv").write_text('_row,order_id,review_score,comment\n0,o1,5,"two\nlines"\n1,o2,many,"a ""b"""\n')
+    tables, rejects = csv_tables.load_checked(spark, str(tmp_path))
+    assert rows(tables["orders_items"], "_row", "order_id", "price") == [(0, "o1", 1.5), (1, "o2", None)]
+    assert rows(tables["order_reviews"]) == [(0, "o1", 5.0, "two\nlines")]
+    assert rows(rejects) == [
+        ("order_reviews", "review_score: double", 1), ("orders_items", "fields", 2),
+        ("orders_items", "price: double", 1), ("orders_items", "shipping_limit_date: timestamp_ntz", 1),
+    ]
+    good, bad = csv_tables.read_checked(spark, str(tmp_path / "order_reviews.csv"), schemas.RAW["order_reviews"], True)
+    assert good.count() == 1 and json.loads(bad.first()["fields"]) == {"_row": "1", "order_id": "o2", "review_score": "many", "comment": 'a "b"'}
