@@ -7,11 +7,17 @@ columns sums ever shorter prefixes, down to the number of words. The leads are r
 word array, so building windows moves no data, and tasks count before the shuffle, so a word or
 pair that is everywhere is one row a task.
 
+Nearly all longest windows of a corpus are different, and most hold a phrase that is too rare to matter. So
+windows are first counted by one long that packs a few hash bits of each word. Its prefixes bound the
+counts of the phrases from above; those that may reach ``MIN_COUNT`` go into a Bloom filter of bounded size, and a window ends
+before the first word that makes it surely rare. A full filter or equal bits only let more windows
+through: the counts that are used come from the words themselves.
+
 A phrase of at least ``MIN_COUNT`` occurrences is a candidate. Cut after its first k words it scores
 floor(1,000,000 a² / (l r)) with the counts of the whole and the two parts; the lowest cut counts. Parts
 of a candidate are at least as frequent, so rare phrases leave early. A candidate inside a longer one
-with at least half its count is dropped. Scores are exact decimals of 38 digits, enough for parts of
-10^16 words.
+with at least half its count is dropped. Scores are exact decimals of 38 digits, enough for counts of
+up to 10^15.
 
 Defined cases: null text is empty and has no words; a null part is ``und``; white space other than
 blanks, tabs and line ends belongs to words; ties in the score go to the shorter first part, ties in
@@ -21,9 +27,10 @@ table gives an empty table. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patronlens.llm import bloom
 from patronlens.llm.common import ascii_lower
 from patronlens.session import cut_lineage
 
@@ -42,6 +49,43 @@ def windows(documents: DataFrame, part: str = "lang", longest: int = LONGEST) ->
     return words.select("part", "w0", *leads).select("part", F.inline(F.arrays_zip(*names)))
 
 
+def packed(names: list[str]) -> list[Column]:
+    """For the first one, two, ... lead columns one long of equally many hash bits a word, 0 where a window has ended."""
+    bits = 63 // len(names)
+    places = [F.when(F.col(n).isNotNull(), F.pmod(F.xxhash64("part", n), F.lit((1 << bits) - 1)) + 1).otherwise(0) for n in names]
+    keys = [places[0]]
+    for place in places[1:]:
+        keys.append(F.shiftleft(keys[-1], bits) + place)
+    return keys
+
+
+def without_rare(opened: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
+    """The windows, each ended before the first word with which its phrase surely stays below ``min_count``."""
+    names = [f"w{k}" for k in range(longest)]
+    bits = 63 // longest
+    counted = opened.select(packed(names)[-1].alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # Keys of ended windows may stay among the frequent ones: a window ends there anyway. Without a condition
+    # on the key all levels read one shuffle.
+    kept = []
+    for size in range(longest, 1, -1):
+        level = counted if size == longest else counted.groupBy(F.shiftright("key", bits * (longest - size)).alias("key")).agg(F.sum("n").alias("n"))
+        kept.append(level.where(F.col("n") >= min_count).select(F.xxhash64(F.lit(size), "key").alias("frequent")))
+    frequent = kept[0]
+    for more in kept[1:]:
+        frequent = frequent.unionByName(more)
+    frequent = cut_lineage(frequent)
+    keyed = opened.select("part", *names, *[F.xxhash64(F.lit(size), key).alias(f"k{size}") for size, key in enumerate(packed(names), 1) if size > 1])
+    for size in range(2, longest + 1):
+        keyed = bloom.probe(keyed, f"k{size}", frequent, "frequent", f"may{size}")
+    ended = {}
+    open_still = F.lit(True)
+    for size, name in enumerate(names, 1):
+        if size > 1:
+            open_still = open_still & F.col(f"may{size}")
+            ended[name] = F.when(open_still, F.col(name))
+    return keyed.select("part", names[0], *[column.alias(name) for name, column in ended.items()])
+
+
 def phrase_counts(opened: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
     """part, phrase, size, f of all phrases of up to ``longest`` words; size 0 holds a part's number of words.
 
@@ -49,19 +93,17 @@ def phrase_counts(opened: DataFrame, longest: int = LONGEST, min_count: int = MI
     """
     names = [f"w{k}" for k in range(longest)]
     counted = opened.groupBy("part", *names).agg(F.count(F.lit(1)).alias("n"))
-    full = counted.where(F.col(names[-1]).isNotNull() & (F.col("n") >= min_count))
-    full = full.select("part", F.concat_ws(" ", *names).alias("phrase"), F.lit(longest).alias("size"), F.col("n").alias("f"))
-    prefixes = ", ".join(names[:-1])
+    prefixes = ", ".join(names)
     # A rolled-up column counts one bit of the grouping id, so the prefix length is what is left.
     margins = counted.sparkSession.sql(
-        f"SELECT part, {prefixes}, CAST({longest - 1} - bit_count(grouping_id()) AS INT) AS size, sum(n) AS f FROM {{counted}} GROUP BY part, ROLLUP({prefixes})",
+        f"SELECT part, {prefixes}, CAST({longest} - bit_count(grouping_id()) AS INT) AS size, sum(n) AS f FROM {{counted}} GROUP BY part, ROLLUP({prefixes})",
         counted=counted,
     )
-    last = F.lit(True)
-    for k, name in enumerate(names[:-1]):
-        last = last & (F.col(name).isNotNull() | (F.col("size") <= k))
-    margins = margins.where(last & ((F.col("f") >= min_count) | (F.col("size") == 0)))
-    return full.unionByName(margins.select("part", F.concat_ws(" ", *names[:-1]).alias("phrase"), "size", "f"))
+    whole = F.lit(True)
+    for k, name in enumerate(names):
+        whole = whole & (F.col(name).isNotNull() | (F.col("size") <= k))
+    margins = margins.where(whole & ((F.col("f") >= min_count) | (F.col("size") == 0)))
+    return margins.select("part", F.concat_ws(" ", *names).alias("phrase"), "size", "f")
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -94,7 +136,8 @@ def without_held(candidates: DataFrame, held_percent: int = HELD_PERCENT) -> Dat
 
 def collocations(documents: DataFrame, part: str = "lang", longest: int = LONGEST, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """part, rank, phrase, a, l, r, n, score: the first ``top`` phrases of every part."""
-    counts = cut_lineage(phrase_counts(windows(documents, part, longest), longest, min_count))
+    opened = without_rare(windows(documents, part, longest), longest, min_count)
+    counts = cut_lineage(phrase_counts(opened, longest, min_count))
     kept = without_held(cut_lineage(scored(counts)))
     order = Window.partitionBy("part").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
