@@ -183,11 +183,13 @@ def _as_array(column: str) -> Column:
     return vector_to_array(column)
 
 
-def _mixed_cost(numeric: Sequence[str], category: str, centre: dict, gamma: float) -> Column:
-    cost = F.when(F.col(category).eqNullSafe(F.lit(centre[category])), 0.0).otherwise(gamma)
-    for c in numeric:
-        cost = cost + F.pow(F.col(c) - F.lit(float(centre[c])), 2)
-    return cost
+def _literal(value: object) -> str:
+    """A number or text (or null) as SQL writes it."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{float(value)!r}D"
 
 
 class Prototypes(NamedTuple):
@@ -226,24 +228,37 @@ def _drawn_start(rows: DataFrame, k: int, numeric: Sequence[str], category: str,
 
 
 def _nearest_centre(centres: Sequence[dict], numeric: Sequence[str], category: str, gamma: float) -> Column:
-    """``cost`` and ``cluster`` of the cheapest centre, the first of several."""
-    return F.array_min(F.array(*[
-        F.struct(_mixed_cost(numeric, category, c, gamma).alias("cost"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)
-    ]))
+    """``cost`` and ``cluster`` of the cheapest centre, the first of several.
+
+    The centres are one constant array that a short expression walks, so a round's code does not grow with
+    them and is compiled once for all rounds.
+    """
+    listed = ", ".join(
+        "named_struct(" + ", ".join([f"'x{j}', {_literal(centre[c])}" for j, c in enumerate(numeric)] + [f"'kind', {_literal(centre[category])}, 'cluster', {i}"]) + ")"
+        for i, centre in enumerate(centres)
+    )
+    apart = " + ".join(f"(`{c}` - m.x{j}) * (`{c}` - m.x{j})" for j, c in enumerate(numeric))
+    cost = f"{apart} + IF(`{category}` <=> m.kind, 0.0D, {float(gamma)!r}D)"
+    return F.expr(f"array_min(transform(array({listed}), m -> named_struct('cost', {cost}, 'cluster', m.cluster)))")
 
 
 def _settled(rows: DataFrame, centres: list[dict], numeric: Sequence[str], category: str, gamma: float, max_rounds: int) -> Prototypes:
-    """Rounds of assignment and new centres until no row changes its cluster."""
-    before = None
+    """Rounds of assignment and new centres until no row changes its cluster.
+
+    Whether rows moved is asked only when the cost stays: it falls whenever centres still follow their rows.
+    """
+    before, previous = None, None
     for number in range(1, max_rounds + 1):
-        placed = rows.withColumn("_best", _nearest_centre(centres, numeric, category, gamma))
-        moved = F.lit(1) if before is None else (F.col("_best.cluster") != _nearest_centre(before, numeric, category, gamma)["cluster"]).cast("int")
-        placed = placed.withColumns({"cluster": F.col("_best.cluster"), "_cost": F.col("_best.cost"), "_moved": moved})
-        means = placed.groupBy("cluster").agg(F.sum("_cost").alias("_cost"), F.sum("_moved").alias("_moved"), *[F.avg(c).alias(c) for c in numeric])
+        best = _nearest_centre(centres, numeric, category, gamma)
+        placed = rows.withColumn("_best", best).withColumns({"cluster": F.col("_best.cluster"), "_cost": F.col("_best.cost")})
+        means = placed.groupBy("cluster").agg(F.sum("_cost").alias("_cost"), *[F.avg(c).alias(c) for c in numeric])
         found = means.join(most_common(placed, ["cluster"], category, category), "cluster", "left").collect()
-        if sum(r["_moved"] for r in found) == 0:
-            return Prototypes(centres, sum(r["_cost"] for r in found), number)
-        before, centres = centres, list(centres)
+        total = sum(r["_cost"] for r in found)
+        if previous is not None and total >= previous * (1 - 1e-9):
+            stayed = best["cluster"] == _nearest_centre(before, numeric, category, gamma)["cluster"]
+            if rows.where(~stayed).isEmpty():
+                return Prototypes(centres, total, number)
+        before, previous, centres = centres, total, list(centres)
         for r in found:
             centres[r["cluster"]] = {c: r[c] for c in [*numeric, category]}
     raise RuntimeError(f"rows still change their cluster after {max_rounds} rounds")
@@ -255,9 +270,8 @@ def fit_prototypes(
     """The cheaper of two fits: from centres dealt by category frequency, and from rows drawn at random.
 
     ``numeric`` should be scaled. Each round assigns rows against the ``k`` centres, which are literals in
-    the expression, recomputes means and modes by aggregation, and counts the rows whose cluster is another
-    than under the centres before, so no labels are kept; only the centres come to the driver. Without rows
-    there are no centres.
+    the expression, and recomputes means and modes by aggregation; labels are not kept, and only the centres
+    come to the driver. Without rows there are no centres.
     """
     rows = cut_lineage(complete(table, numeric, category).select(PERSON, *numeric, category))
     draw = F.min(F.xxhash64(F.col(PERSON), F.lit(seed)))

@@ -1,4 +1,4 @@
-"""Queries over clustering, classification, paging and the readers and writers."""
+"""Queries over the clustering table, evaluation, paging and the readers and writers."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from patronlens import schemas
 from patronlens.functions import paging
-from patronlens.operators import churn, cleaning, clustering, features, models, rfm, sessions
-from patronlens.plans import people, tables
-from patronlens.plans.registry import query
+from patronlens.operators import churn, cleaning, clustering, features, models, rfm
+from patronlens.plans import people, reports, tables  # noqa: F401
+from patronlens.plans.registry import QUERIES, SQL, query
 from patronlens.plans.tables import centroids
 from patronlens.plans.views import VIEWS
-from patronlens.session import cut_lineage, scratch_path
+from patronlens.session import scratch_path
 from patronlens.sources import csv_tables, documents
 
 YEAR = "customer_year"
@@ -27,12 +27,6 @@ def _(shop):
     return features.order_gaps(shop.event_orders())
 
 
-@query("order_gaps_split", "SELECT * FROM v_order_gaps WHERE gap IS NOT NULL")
-def _(shop):
-    """The same gaps; kept under its name."""
-    return features.order_gaps(shop.event_orders())
-
-
 @query("repeat_knots", " UNION ALL ".join(
     f"SELECT {round(i / 27, 6)}::DOUBLE AS share, round(quantile_cont(gap, {i / 27!r}), 4) AS seconds FROM v_order_gaps WHERE gap IS NOT NULL"
     for i in range(28)
@@ -134,10 +128,10 @@ def _(shop):
 @query("cluster_description", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count("{c}") AS count, round(avg("{c}"), 6) AS mean, round(stddev_samp("{c}"), 6) AS std, round(CAST(min("{c}") AS DOUBLE), 6) AS min,
  round(CAST(quantile_cont("{c}", 0.25) AS DOUBLE), 6) AS q25, round(CAST(quantile_cont("{c}", 0.5) AS DOUBLE), 6) AS q50, round(CAST(quantile_cont("{c}", 0.75) AS DOUBLE), 6) AS q75, round(CAST(max("{c}") AS DOUBLE), 6) AS max
- FROM y_clustering WHERE rfm_1 = 1""" for c in ("dist", "score", "recency_days", "lambda")
+ FROM y_clustering WHERE rfm_1 = 1""" for c in clustering.NUMERIC
 ), YEAR)
 def _(shop):
-    described = clustering.describe(clustering_table(shop).where(F.col("rfm_1") == 1), ["dist", "score", "recency_days", "lambda"])
+    described = clustering.describe(clustering_table(shop).where(F.col("rfm_1") == 1), clustering.NUMERIC)
     return _rounded(described, "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -183,162 +177,6 @@ def _(shop):
     return clustering.older_members(aged.join(profile, "order_id"), 2, column="items").select("order_id", "upper_category", "time_delta")
 
 
-# --- clusters and classifiers: checked by rows and by tests ------------------------------------
-
-
-def _clustered(shop):
-    table = clustering_table(shop)
-    train, test = models.stratified_split(table, "class")
-    train, test = cut_lineage(train), cut_lineage(test)
-    model = clustering.hierarchical(train)
-    return clustering.assign(model, train), clustering.assign(model, test)
-
-
-@query("stratified_split", """SELECT class, CAST(floor(count(*) * 0.8) AS BIGINT) AS train, CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS test FROM y_labels
- JOIN (SELECT customer_unique_id AS id FROM y_clustering) USING (id) GROUP BY 1""", YEAR)
-def _(shop):
-    train, test = models.stratified_split(clustering_table(shop), "class")
-    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
-    return sides.groupBy("class").pivot("side", ["train", "test"]).agg(F.count(F.lit(1)))
-
-
-@query("random_split", person=YEAR)
-def _(shop):
-    train, test = models.random_split(features.one_order_input(people.base(shop), people.today(shop)))
-    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
-    return sides.groupBy("side").agg(F.count(F.lit(1)).alias("count"))
-
-
-def _parts(shop):
-    rows = features.history_dataset(people.base(shop), people.today(shop), expand=False)
-    return cut_lineage(models.group_folds(rows))
-
-
-@query("group_folds", person=YEAR)
-def _(shop):
-    return _parts(shop).groupBy("part").agg(F.count(F.lit(1)).alias("count"))
-
-
-def _part(parts, name):
-    return parts.where(F.col("part") == name)
-
-
-@query("hierarchical_clusters", person=YEAR)
-def _(shop):
-    train, test = _clustered(shop)
-    return train.unionByName(test).select("customer_unique_id", "cluster")
-
-
-@query("hierarchical_cluster_shares", person=YEAR)
-def _(shop):
-    return clustering.cluster_shares(_clustered(shop)[0])
-
-
-@query("kmeans_clusters", person=YEAR)
-def _(shop):
-    table = clustering_table(shop)
-    return clustering.assign(clustering.kmeans(table, k=10), table).select("customer_unique_id", "cluster")
-
-
-@query("kmeans_elbow", person=YEAR)
-def _(shop):
-    return clustering.elbow(clustering_table(shop))
-
-
-@query("k_prototypes", person=YEAR)
-def _(shop):
-    scaled = clustering.standardize(clustering_table(shop), clustering.NUMERIC)
-    return clustering.k_prototypes(scaled, k=20)[0].select("customer_unique_id", "cluster")
-
-
-@query("k_prototypes_elbow", person=YEAR)
-def _(shop):
-    scaled = cut_lineage(clustering.standardize(clustering_table(shop), clustering.NUMERIC))
-    return clustering.prototype_elbow(scaled)
-
-
-@query("retention_forest", person=YEAR)
-def _(shop):
-    parts = _parts(shop)
-    model = models.retention_forest(_part(parts, "train"))
-    return models.confusion(models.predict(model, _part(parts, "test"), models.HISTORY), "retention", "prediction")
-
-
-@query("retention_boosting", person=YEAR)
-def _(shop):
-    parts = _parts(shop)
-    model = models.retention_boosting(_part(parts, "train"))
-    scored = models.predict(model, _part(parts, "test"), [*models.HISTORY, "days_after_order"])
-    return models.confusion(scored, "retention", "prediction")
-
-
-@query("several_orders_model", person=YEAR)
-def _(shop):
-    parts = _parts(shop)
-    model = models.SeveralOrdersModel.fit(_part(parts, "train"), _part(parts, "valid"))
-    return model.transform(_part(parts, "test")).select("customer_unique_id", "retention", "prediction", "probability")
-
-
-@query("one_order_model", person=YEAR)
-def _(shop):
-    rows = features.one_order_input(people.base(shop), people.today(shop))
-    rows = cut_lineage(rows.withColumn("retention", churn.fixed_label(F.col("days_after_order"))))
-    train, test = models.random_split(rows)
-    model = models.one_order_regression(train)
-    return models.predict(model, test, models.ONE_ORDER).select("customer_unique_id", "retention", "prediction", "probability")
-
-
-def _order_rows(shop, clustered):
-    """The last session of each clustered person with the order features and the cluster."""
-    last = sessions.last_session(people.year_sessions(shop))
-    rows = features.order_features(last, centroids(shop), people.today(shop))
-    return rows.join(clustered.select("customer_unique_id", "class", "cluster"), "customer_unique_id")
-
-
-def _cluster_model(shop):
-    train, test = _clustered(shop)
-    rows = cut_lineage(_order_rows(shop, train))
-    return models.cluster_forest(rows, people.CATEGORIES), rows, test, clustering.cluster_shares(train)
-
-
-@query("cluster_forest", person=YEAR)
-def _(shop):
-    model, _, test, _ = _cluster_model(shop)
-    scored = models.predict_clusters(model, _order_rows(shop, test), people.CATEGORIES)
-    return models.confusion(scored, "cluster", "predicted", [0, 1, 2])
-
-
-@query("cluster_share_model", person=YEAR)
-def _(shop):
-    model, rows, test, shares = _cluster_model(shop)
-    stage = models.share_regression(models.predict_clusters(model, rows, people.CATEGORIES), shares)
-    held = models.with_share(models.predict_clusters(model, _order_rows(shop, test), people.CATEGORIES), shares)
-    return models.predict(stage, held, ["time_delta", "rfc"]).select("customer_unique_id", "class", "prediction", "probability")
-
-
-def _one_order_rows(shop):
-    """Order features of one-order people, from the sessions the clusters were built on."""
-    rows = features.one_order_rows(people.dataset(shop), people.year_sessions(shop))
-    return features.order_features(rows, centroids(shop), people.today(shop))
-
-
-def _one_order_scores(shop, rows=None):
-    model, _, _, shares = _cluster_model(shop)
-    rows = _one_order_rows(shop) if rows is None else rows
-    return models.score_one_order(model, rows, models.cluster_table(shares), people.CATEGORIES), shares
-
-
-@query("one_order_scores", person=YEAR)
-def _(shop):
-    return _one_order_scores(shop)[0]
-
-
-@query("predicted_cluster_sizes", person=YEAR)
-def _(shop):
-    scores, shares = _one_order_scores(shop)
-    return clustering.cluster_sizes(scores.select("cluster"), shares)
-
-
 # --- readers and writers -----------------------------------------------------------------------
 
 _RAW_COUNTS = {
@@ -375,6 +213,53 @@ def _(shop):
     return _counts(csv_tables.load_raw(shop.spark, _write_raw(shop)))
 
 
+def _typed(table, source):
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
+    return "SELECT " + ", ".join(f"CAST({f.name} AS {kinds[f.dataType.simpleString()]}) AS {f.name}" for f in schemas.RAW[table].fields) + f" FROM {source}"
+
+
+def _register_round_trip(table, source):
+    @query(f"csv_{table}_values", _typed(table, source))
+    def _(shop):
+        written = csv_tables.write_table(shop.raw()[table], scratch_path(shop.spark, table), table, "csv")
+        good, _ = csv_tables.read_checked(shop.spark, written, schemas.RAW[table], table in csv_tables.MULTILINE)
+        return good.select(*schemas.RAW[table].names)
+
+
+for _table, _source in _RAW_COUNTS.items():
+    _register_round_trip(_table, _source)
+
+
+@query("rejected_rows", """SELECT 'orders_items' AS table_name, reason, count(*) AS rows FROM (
+ SELECT unnest(CASE WHEN l_linenumber = 3 THEN ['price: double'] WHEN l_linenumber = 5 THEN ['shipping_limit_date: timestamp_ntz', 'price: double'] ELSE [] END) AS reason FROM lineitem) GROUP BY 2""")
+def _(shop):
+    """A load whose third lines have a price, and fifth lines a price and a date, that are none."""
+    line = F.col("l_linenumber")
+    spoiled = shop.source("lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"),
+        F.when(line == 5, F.lit("soon")).otherwise(F.col("l_shipdate").cast("string")).alias("shipping_limit_date"),
+        F.when(line.isin(3, 5), F.concat(F.lit("R$ "), F.col("l_extendedprice").cast("string"))).otherwise(F.col("l_extendedprice").cast("string")).alias("price"),
+        F.col("l_tax").alias("freight_value"),
+    )
+    path = csv_tables.write_table(spoiled, scratch_path(shop.spark, "spoiled"), "orders_items", "csv")
+    _, rejected = csv_tables.read_checked(shop.spark, path, schemas.RAW["orders_items"])
+    reasons = rejected.select(F.lit("orders_items").alias("table_name"), F.explode("reasons").alias("reason"))
+    return reasons.groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _register_report(name, report, *columns):
+    """IO13: a report written as one of the CSV files that the shop's pages read, and read back with its types."""
+    @query(f"{name}_csv_round_trip", SQL[report])
+    def _(shop):
+        table = QUERIES[report](shop.spark, shop.folder)
+        path = csv_tables.write_table(table, scratch_path(shop.spark, name), name, "csv")
+        return csv_tables.read_csv(shop.spark, path, table.schema).select(*table.columns)
+
+
+for _name, _report in (("ABC", "abc_classes"), ("XYZ", "xyz_classes"), ("merged", "abc_xyz_merged")):
+    _register_report(_name, _report)
+
+
 @query("csv_items_round_trip", "SELECT _row, CAST(order_id AS VARCHAR) AS order_id, CAST(product_id AS VARCHAR) AS product_id, CAST(seller_id AS VARCHAR) AS seller_id, shipping_limit_date, price, freight_value FROM v_items")
 def _(shop):
     path = csv_tables.write_table(shop.items(), scratch_path(shop.spark, "items"), "orders_items", "csv")
@@ -432,24 +317,8 @@ def _(shop):
     return csv_tables.read_csv(shop.spark, path).select(F.col("count").cast("long"), F.col("date_day").cast("date"))
 
 
-@query("scored_csv_files", person=YEAR)
-def _(shop):
-    rows = _one_order_rows(shop)
-    path = csv_tables.write_table(rows, scratch_path(shop.spark, "one-order"), "one_order_customers", "csv")
-    return _one_order_scores(shop, read_order_features(shop.spark, path))[0]
-
-
 def read_order_features(spark, path):
     """Order features from CSV files, without the saved index if there is one."""
     types = {"distance": "double", "payment_value": "double", "review_score": "double", "time_delta": "int"}
     text = cleaning.drop_columns(csv_tables.read_csv(spark, path), [schemas.ROW])
     return text.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
-
-
-@query("saved_models", person=YEAR)
-def _(shop):
-    parts = _parts(shop)
-    folder = scratch_path(shop.spark, "model")
-    models.SeveralOrdersModel.fit(_part(parts, "train"), _part(parts, "valid")).save(folder)
-    loaded = models.SeveralOrdersModel.load(folder)
-    return loaded.transform(_part(parts, "test")).select("customer_unique_id", "prediction", "probability")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from patronlens.operators import churn, cleaning, features, sessions
 from patronlens.plans.registry import query
 from patronlens.plans.tables import centroids
-from patronlens.plans.views import VIEWS
+from patronlens.plans.views import VIEWS, draw_sql
 
 CATEGORIES = [f"group_{i}" for i in range(9)] + ["miss"]
 _ORDERED = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
@@ -278,12 +278,6 @@ def _(shop):
     return _rounded_prefixes(features.prefixes(base(shop), today(shop)))
 
 
-@query("history_prefixes_split", f"SELECT {_PREFIX} FROM y_prefixes", person="customer_year")
-def _(shop):
-    """The same features with every person of three rows or more treated as heavy."""
-    return _rounded_prefixes(features.prefixes(base(shop), today(shop)))
-
-
 @query("history_labels", f"SELECT {_PREFIX}, {_LABEL} FROM y_prefixes", person="customer_year")
 def _(shop):
     return _rounded_prefixes(features.history_dataset(base(shop), today(shop)))
@@ -294,7 +288,8 @@ def _(shop):
     return _rounded_prefixes(features.history_dataset(base(shop), today(shop), expand=False))
 
 
-@query("sampled_histories", person="customer_year")
+@query("sampled_histories", f"""SELECT {_PREFIX}, {_LABEL} FROM y_prefixes WHERE orders_count = history_length AND (history_length > 1 OR customer_unique_id IN (
+ SELECT customer_unique_id FROM y_prefixes WHERE history_length = 1 ORDER BY {draw_sql("customer_unique_id", 1)}, customer_unique_id LIMIT 100))""", person="customer_year")
 def _(shop):
     return _rounded_prefixes(features.history_dataset(base(shop), today(shop), expand=False, keep_one_order=100))
 

@@ -12,6 +12,13 @@ _STATES = "[" + ", ".join(f"'{s}'" for s in C.STATES) + "]"
 _ODD = " ".join(f"WHEN {k} THEN '{v}'" for k, v in ODD_CITIES.items())
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' WHEN 'P' THEN 'canceled' END"
 
+
+
+def draw_sql(column: str, seed: int) -> str:
+    """``functions.expressions.draw`` in SQL."""
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({column} AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
 class _Views(dict):
     def __setitem__(self, name: str, sql: str) -> None:
         if name in self:
