@@ -1,11 +1,11 @@
-"""Column helpers and graph steps shared by the corpus operators."""
+"""Column helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.session import cut_lineage
+from patronlens.functions.graph import connected  # noqa: F401 - used by the operators on pairs
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,33 +23,3 @@ def ascii_lower(text: Column) -> Column:
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
-
-
-def connected(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """``node`` and ``component``, the smallest node reachable, for every node of an edge table.
-
-    Each round points every node at its smallest neighbour and contracts the edges to the nodes
-    pointed at, so the edge table shrinks until it is empty. Nulls and loops are ignored; a node
-    with only a loop is not listed. Every round is written to the shared folder.
-    """
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    placed = None
-    while not pairs.isEmpty():
-        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = cut_lineage(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
-        if placed is None:
-            placed = nearest.withColumnRenamed("to", "component")
-        else:
-            step = nearest.select(F.col("node").alias("component"), "to")
-            placed = placed.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            placed = cut_lineage(placed)
-        pairs = (
-            pairs.join(nearest.withColumnsRenamed({"node": "a", "to": "x"}), "a")
-            .join(nearest.withColumnsRenamed({"node": "b", "to": "y"}), "b")
-            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        )
-        pairs = cut_lineage(pairs)
-    if placed is None:
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return placed
