@@ -203,8 +203,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "chunks", "lengths"])
 
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    drawn = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select("doc_id", "label")
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    share = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # About twice as many as wanted are ranked; the rank alone is the bound.
+    ranked = known.join(F.broadcast(sizes), "label").withColumn("draw", share).where(F.col("draw") * F.col("size") < 2 * per_class + 100)
+    order = Window.partitionBy("label").orderBy("draw", "doc_id")
+    drawn = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select("doc_id", "label")
     texts = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "label", "text")
     rows = texts.mapInArrow(cut, "id string, label int, chunks binary, lengths binary")
     rows = rows.groupBy("id", "label").agg(F.min(F.struct("chunks", "lengths")).alias("cut")).select("id", "label", "cut.chunks", "cut.lengths")
