@@ -80,10 +80,10 @@ def retention_boosting(df: DataFrame, rounds: int = 100, seed: int = 0) -> Pipel
 
 
 def predict(model: PipelineModel, df: DataFrame, columns: Sequence[str], alias: str = "prediction") -> DataFrame:
-    """``df`` with the predicted label and the probability of label 1."""
-    scored = model.transform(filled(df, columns))
+    """``df`` with the predicted label and the probability of label 1; its columns stay as they are, nulls too."""
+    scored = model.transform(filled(df.withColumn("_given", F.struct(*df.columns)), columns))
     return scored.select(
-        *df.columns, F.col("prediction").cast("int").alias(alias),
+        "_given.*", F.col("prediction").cast("int").alias(alias),
         vector_to_array("probability")[1].alias("probability"),
     )
 
@@ -147,11 +147,9 @@ def cluster_forest(orders: DataFrame, categories: Sequence[str] = CATEGORIES, tr
 
 
 def predict_clusters(model: PipelineModel, orders: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    encoded = dummies(orders.withColumn("_kept", F.col("upper_category")), "upper_category", categories)
+    encoded = dummies(orders.withColumn("_given", F.struct(*orders.columns)), "upper_category", categories)
     scored = model.transform(filled(encoded, order_columns(categories)))
-    return scored.withColumnRenamed("_kept", "upper_category").select(
-        *orders.columns, F.col("prediction").cast("int").alias("predicted")
-    )
+    return scored.select("_given.*", F.col("prediction").cast("int").alias("predicted"))
 
 
 def share_regression(predicted: DataFrame, shares: DataFrame, label: str = "class") -> PipelineModel:
