@@ -278,6 +278,12 @@ def _(shop):
     return _rounded_prefixes(features.prefixes(base(shop), today(shop)))
 
 
+@query("history_prefixes_split", f"SELECT {_PREFIX} FROM y_prefixes", person="customer_year")
+def _(shop):
+    """The same features; kept under its name."""
+    return _rounded_prefixes(features.prefixes(base(shop), today(shop)))
+
+
 @query("history_labels", f"SELECT {_PREFIX}, {_LABEL} FROM y_prefixes", person="customer_year")
 def _(shop):
     return _rounded_prefixes(features.history_dataset(base(shop), today(shop)))

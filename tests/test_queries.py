@@ -14,8 +14,9 @@ from check_queries import compare  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 DEFAULT = [
     "rfm_cells", "rfm_two_axes", "retention_1m", "retention_3m", "abc_xyz_merged", "cohort_retention", "clean_geolocation",
-    "clean_orders_items", "state_churn", "anchored_sessions_parity", "one_order_features", "history_prefixes_split",
-    "poisson_churn", "clustering_table", "repeat_knots", "csv_raw_tables", "geojson_outlines",
+    "clean_orders_items", "state_churn", "anchored_sessions_parity", "one_order_features", "history_prefixes", "sampled_histories", "group_folds",
+    "poisson_churn", "clustering_table", "repeat_knots", "csv_raw_tables", "csv_orders_values", "rejected_rows", "table_page_deep",
+    "merged_csv_round_trip", "geojson_outlines", "gower_knn_clusters", "density_clusters", "hierarchical_clusters",
 ]
 #: Queries whose right result has no row at this scale.
 EMPTY_AT_THE_SMALLEST: set[str] = set()
