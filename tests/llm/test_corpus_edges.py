@@ -328,3 +328,18 @@ def test_language_edges(spark, odd, none):
     assert len(rows) == odd.count() and all(r.lang_pred == "und" for r in rows if not any(c.isalpha() for c in r.text or ""))
     assert all(0 <= r.score <= 1 for r in rows) and {r.lang_pred for r in rows if r.text and any(c.isalpha() for c in r.text)} <= {"en", "fr", "de"}
     assert language.predict(none, model).count() == 0 and {r.lang_pred for r in language.predict(odd, language.fit(none, F.lit(True))).collect()} == {"und"}
+
+
+def test_graph_walk_finds_what_brute_force_finds():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3000, 48))
+    crowd = rng.normal(size=48) + 0.3 * rng.normal(size=(1500, 48))
+    for x in (np.concatenate([base, base[:700] + 0.3 * rng.normal(size=(700, 48))]), np.concatenate([base[:1500], crowd]), base[:1], base[:2]):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        lists = vector_graph.robust_pruned(x)
+        assert lists.shape[1] == vector_graph.DEGREE and all(i not in own for i, own in enumerate(lists.tolist()))
+        both = vector_graph.both_ways(x.astype(np.float32), lists)
+        entries = vector_graph.medoids_of(x, both)
+        got = vector_graph.searched(x.astype(np.float32), both, entries, x.astype(np.float32), 0.85) >= 0.9
+        truth = x.astype(np.float32) @ x.astype(np.float32).T >= 0.9
+        assert not (got & ~truth).sum() > 2 and got[truth].mean() >= 0.999
