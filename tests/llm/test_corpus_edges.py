@@ -190,8 +190,10 @@ def test_bit_chances_sum_to_one(spark):
     tables = np.zeros((2, shape.places), dtype=np.float32)
     lm_scoring.added_counts(tables, words, counts, shape)
     weights = lm_scoring.first_weights()
-    lm_scoring.online_mix(tables, words, counts, shape, weights, np.zeros_like(weights))
-    ready = lm_scoring.Ready(lm_scoring.Model(tables, weights, lm_scoring.refine(lm_scoring.refining_sums(tables, weights, words, counts, shape)), shape))
+    sums = np.zeros((2, 256 * lm_scoring.LEVELS))
+    mass = lm_scoring.online_mix(tables, words, counts, shape, weights, np.zeros_like(weights), sums)
+    assert math.isclose(sums[0].sum(), mass)
+    ready = lm_scoring.Ready(lm_scoring.Model(tables, weights, lm_scoring.refine(sums), shape))
     data = np.frombuffer(bytes(range(256)), dtype=np.uint8)
     one_byte = lm_scoring.log10_of(ready, data, np.arange(256), np.ones(256, dtype=np.int64))
     assert math.isclose((10**one_byte).sum(), 1.0, rel_tol=1e-6)
@@ -203,6 +205,10 @@ def test_language_model_of_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and r.score < 0 for r in rows)
     got = {r.doc_id: (r.n_tokens, r.n_known) for r in rows if r.doc_id is not None}
     assert got[1] == (16, 16) and got[3] == got[4] == got[5] == (1, 1) and got[6] == (30_001, 30_001)
+    listed = lm_scoring.scored(odd, F.lit(True), table_bits=14).collect()
+    order = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
+    for a, b in zip(sorted(rows, key=order), sorted(listed, key=order)):
+        assert a.n_known == b.n_known and math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and math.isclose(a.score, b.score, rel_tol=0.02 if a.doc_id == 6 else 1e-9)
     untrained = lm_scoring.scored(odd, F.lit(False), table_bits=14).collect()
     assert {(r.train_tokens, r.n_known) for r in untrained} == {(0, 0)}
     assert lm_scoring.scored(none, F.lit(True), table_bits=14).count() == 0
