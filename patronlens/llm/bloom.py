@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronlens.llm.common import unused
+
 WORDS = 4
 BITS_PER_KEY = 16
 MAX_BLOCKS = 1 << 18
@@ -38,8 +40,9 @@ def build(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 def probe(rows: DataFrame, key: str, keys: DataFrame, keys_column: str, flag: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``rows`` with a boolean ``flag``: false where ``key`` is surely not among the keys (or null)."""
     blocks = blocks_for(keys.count(), max_blocks=max_blocks)
-    made = build(keys, keys_column, blocks).withColumnsRenamed({"block": "_block", **{f"w{i}": f"_w{i}" for i in range(WORDS)}})
-    bits = " AND ".join(f"(shiftright(_w{i}, {_position(key, i)}) & 1) = 1" for i in range(WORDS))
-    probed = rows.withColumn("_block_of", _block(key, blocks)).join(F.broadcast(made), F.col("_block_of") == F.col("_block"), "left")
+    block, *words, own = unused(rows, "block", *[f"w{i}" for i in range(WORDS)], "block_of")
+    made = build(keys, keys_column, blocks).toDF(block, *words)
+    bits = " AND ".join(f"(shiftright({word}, {_position(key, i)}) & 1) = 1" for i, word in enumerate(words))
+    probed = rows.withColumn(own, _block(key, blocks)).join(F.broadcast(made), F.col(own) == F.col(block), "left")
     probed = probed.withColumn(flag, F.coalesce(F.expr(f"{key} IS NOT NULL AND {bits}"), F.lit(False)))
-    return probed.drop("_block", "_block_of", *[f"_w{i}" for i in range(WORDS)])
+    return probed.drop(block, own, *words)

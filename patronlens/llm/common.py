@@ -23,3 +23,15 @@ def ascii_lower(text: Column) -> Column:
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
+
+
+def unused(table: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores where ``table`` has such a column."""
+    taken = {c.lower() for c in table.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made

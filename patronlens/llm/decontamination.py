@@ -1,19 +1,20 @@
 """Benchmark decontamination: a prefix-filtered join of document shingles with item windows.
 
 A window is ``window`` consecutive words of an item (a shorter item is one window). Its shingles of
-``shingle`` words are ordered by how often the documents hold them, and since a window must be
-contained whole, the rarest shingle alone is a sufficient prefix. A document position that holds a
-window's prefix is a candidate; it must leave room for the window before and behind (position and
-length bounds), and the words themselves are then compared.
-
-All steps are DataFrame functions. The shingles of the items are broadcast while there are at most
-``BROADCAST_ROWS`` of them, otherwise the same join shuffles. Words match
+``shingle`` words are ordered by how often the documents hold them, which is counted first, by hash alone.
+Since a window must be contained whole, the rarest shingle alone is a sufficient prefix; only prefixes are joined with the
+documents' positions. A position that holds a prefix is a candidate; it must leave room for the window
+before and behind (position and length bounds), and the words themselves, joined back by document, are then compared.
+
+All steps are DataFrame functions. What is shuffled is (id, position, hash), never a position with its text. The hashes are
+broadcast while there are at most ``BROADCAST_ROWS`` of them; otherwise a blocked Bloom filter passes
+the positions that may hold one to the same join by shuffle. Words match
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 
 Defined cases: null or wordless texts have no words, no hits and are not contaminated; a wordless
 item has no window; items of equal text are hit together; without items nothing is hit. A row of
 documents is known by its id and a hash of its text, so repeated rows give repeated equal results
-and a null id is allowed. Other columns of documents pass through unless they bear a result's name.
+and a null id is allowed. Other columns of documents pass through ``drop_contaminated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronlens.llm.common import ascii_lower
+from patronlens.llm import bloom
+from patronlens.llm.common import ascii_lower, unused
 from patronlens.session import cut_lineage
 
 WINDOW, SHINGLE = 10, 5
@@ -53,57 +55,53 @@ def _hash_at(words: str, at: str, size: int) -> Column:
     return F.expr("xxhash64(" + ", ".join(f"get({words}, {at} + {i})" for i in range(size)) + ")")
 
 
-def _sides(size: int, window: int) -> int:
-    return max(window, size) - size
-
-
-def matching_positions(documents: DataFrame, shingles: DataFrame, size: int, window: int, broadcast: bool) -> DataFrame:
-    """One row per document position holding one of ``shingles``, with the words around it, and one last row per document.
-
-    The last row (``hash`` null) carries the word count, so documents are read once.
-    """
-    side = _sides(size, window)
-    spread = documents.select("doc_id", "_text_hash", "_words", F.posexplode_outer("_words").alias("_at", "_word"))
-    spread = spread.withColumn("_n", F.size("_words"))
-    spread = spread.withColumn("_hash", F.when(F.col("_at") + size <= F.col("_n"), _hash_at("_words", "_at", size)))
-    known = shingles.select(F.col("hash").alias("_known")).distinct()
-    joined = spread.join(F.broadcast(known) if broadcast else known, F.col("_hash") == F.col("_known"), "left")
-    last = F.col("_at").isNull() | (F.col("_at") == F.col("_n") - 1)
-    joined = joined.where(F.col("_known").isNotNull() | last)
-    first = F.greatest(F.col("_at") - side, F.lit(0))
-    return joined.select(
-        "doc_id", "_text_hash", F.col("_n").cast("long").alias("n_words"), F.col("_at").alias("at"), F.col("_known").alias("hash"), last.alias("last"),
-        F.when(F.col("_known").isNotNull(), first).alias("first"),
-        F.when(F.col("_known").isNotNull(), F.slice("_words", first + 1, F.lit(size + 2 * side))).alias("around"),
-    )
+def positions(documents: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, _text_hash, at, room (words from there on) and hash of every shingle of the sizes in every document."""
+    spread = documents.select("doc_id", "_text_hash", F.size("_words").alias("n"), "_words", F.posexplode("_words").alias("at", "word"))
+    room = F.col("n") - F.col("at")
+    hashes = F.array(*[F.when(room >= size, _hash_at("_words", "at", size)) for size in sizes])
+    each = spread.select("doc_id", "_text_hash", "at", room.alias("room"), F.explode(hashes).alias("hash"))
+    return each.where("hash IS NOT NULL")
+
+
+def among(places: DataFrame, hashes: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The ``places`` whose hash is among the hashes or, where these are too many to be broadcast, passes their Bloom filter."""
+    known = hashes.select(F.col("hash").alias("known")).distinct()
+    if known.count() <= broadcast_rows:
+        return places.join(F.broadcast(known), F.col("hash") == F.col("known"), "left_semi")
+    return bloom.probe(places, "hash", known, "known", "possible").where("possible").drop("possible")
+
+
+def rarest(phrases: DataFrame, places: DataFrame, shingle: int, broadcast_rows: int) -> DataFrame:
+    """phrase, length, offset and hash of each phrase's rarest shingle, for phrases all of whose shingles stand in the documents."""
+    size = F.least(F.col("length"), F.lit(shingle))
+    offsets = phrases.select("phrase", "words", "length", F.explode(F.sequence(F.lit(0), F.col("length") - size)).alias("offset"))
+    hashed = F.lit(None).cast("long")
+    for n in range(1, shingle + 1):
+        hashed = F.when(size == n, _hash_at("words", "offset", n)).otherwise(hashed)
+    offsets = cut_lineage(offsets.select("phrase", "length", "offset", hashed.alias("hash")))
+    often = among(places.select("hash"), offsets, broadcast_rows).groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    ranked = offsets.join(often, "hash", "left").groupBy("phrase", "length")
+    least = ranked.agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "offset", "hash")).alias("p"))
+    return least.where("p.often > 0").select("phrase", "length", "p.offset", "p.hash")
 
 
-def occurrences(documents: DataFrame, windows: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Word counts (doc_id, _text_hash, n_words) per row and verified window occurrences (doc_id, _text_hash, phrase, start, end)."""
+def occurrences(documents: DataFrame, windows: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Verified window occurrences: doc_id, _text_hash, phrase, start, end."""
     phrases = cut_lineage(windows.select("phrase", "words", "length").distinct())
     sizes = sorted(r[0] for r in phrases.select(F.least("length", F.lit(shingle)).alias("s")).distinct().collect()) or [shingle]
-    rows = documents.select("doc_id", F.xxhash64("text").alias("_text_hash"), words_of(F.col("text")).alias("_words"))
-    counts, found = None, None
-    for size in sizes:
-        mine = phrases.where(F.least("length", F.lit(shingle)) == size)
-        offsets = mine.select("phrase", "words", "length", F.explode(F.sequence(F.lit(0), F.col("length") - size)).alias("offset"))
-        offsets = offsets.select("phrase", "length", "offset", _hash_at("words", "offset", size).alias("hash"))
-        small = offsets.select("hash").distinct().count() <= BROADCAST_ROWS
-        hits = cut_lineage(matching_positions(rows, offsets, size, window, small))
-        if counts is None:
-            counts = hits.where("last").select("doc_id", "_text_hash", "n_words")
-        hits = hits.where("hash IS NOT NULL")
-        often = hits.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
-        ranked = offsets.join(often, "hash", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-        prefix = ranked.groupBy("phrase", "length").agg(F.min(F.struct("often", "offset", "hash")).alias("p"))
-        prefix = prefix.where("p.often > 0").select("phrase", "length", "p.offset", "p.hash")
-        near = hits.join(F.broadcast(prefix) if small else prefix, "hash")
-        begin = F.col("at") - F.col("offset")
-        near = near.where((begin >= 0) & (begin + F.col("length") <= F.col("n_words")))
-        same = F.array_join(F.slice("around", begin - F.col("first") + 1, F.col("length")), " ") == F.col("phrase")
-        part = near.where(same).select("doc_id", "_text_hash", "phrase", begin.alias("start"), (begin + F.col("length")).alias("end"))
-        found = part if found is None else found.unionByName(part)
-    return counts, found
+    texts = documents.select("doc_id", F.xxhash64("text").alias("_text_hash"), "text")
+    places = positions(texts.select("doc_id", "_text_hash", words_of(F.col("text")).alias("_words")), sizes)
+    prefix = cut_lineage(rarest(phrases, places, shingle, broadcast_rows))
+    start = F.col("at") - F.col("offset")
+    near = among(places, prefix, broadcast_rows).join(prefix, "hash").where((start >= 0) & (F.col("room") + F.col("offset") >= F.col("length")))
+    near = cut_lineage(near.select("doc_id", "_text_hash", start.alias("start"), "length", "phrase").distinct())
+    held = near.select(F.col("doc_id").alias("d"), F.col("_text_hash").alias("h")).distinct()
+    same = (F.col("_text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    worded = texts.join(held, same, "left_semi").select(F.col("doc_id").alias("d"), F.col("_text_hash").alias("h"), words_of(F.col("text")).alias("words"))
+    exact = F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ") == F.col("phrase")
+    found = near.join(worded, same).where(exact)
+    return found.select("doc_id", "_text_hash", "phrase", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
 
 
 def covered(spans: Column) -> Column:
@@ -116,20 +114,19 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["sum"])
 
 
-def hit_documents(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def hit_documents(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of documents: doc_id, _text_hash, n_words, n_hit, spans, item_ids (as strings, sorted)."""
     windows = cut_lineage(item_windows(items, window))
-    counts, found = occurrences(documents, windows, window, shingle)
-    found = cut_lineage(found)
+    found = cut_lineage(occurrences(documents, windows, window, shingle, broadcast_rows))
     key = ["doc_id", "_text_hash"]
     spans = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     owners = windows.select("phrase", F.col("item_id").cast("string").alias("item")).distinct()
     pairs = found.select(*key, "phrase").distinct().join(owners, "phrase")
     listed = pairs.groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    result = counts
+    result = documents.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     for part in (spans, listed):
         other = part.withColumnsRenamed({"doc_id": "_d", "_text_hash": "_h"})
-        result = result.join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_text_hash").eqNullSafe(F.col("_h")), "left").drop("_d", "_h")
+        result = result.join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left").drop("_d", "_h")
     none = F.array().cast("array<string>")
     result = result.withColumn("item_ids", F.coalesce("item_ids", none))
     return result.withColumn("n_hit", F.coalesce(covered(F.col("spans")), F.lit(0).cast("long")))
@@ -137,6 +134,8 @@ def hit_documents(documents: DataFrame, items: DataFrame, window: int = WINDOW,
 
 def drop_contaminated(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``documents`` that hold no whole window of any item, columns as they are."""
-    hit = hit_documents(documents, items, window, shingle).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("_text_hash").alias("_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    found = occurrences(documents, cut_lineage(item_windows(items, window)), window, shingle)
+    hit = cut_lineage(found.select("doc_id", "_text_hash").distinct().toDF(*unused(documents, "hit_id", "hit_hash")))
+    hit_id, hit_hash = hit.columns
+    same = F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_hash))
     return documents.join(hit, same, "left_anti")

@@ -7,8 +7,8 @@ are scored in batches: a presence matrix times the landmark matrix gives the sim
 times the coefficients the scores. Grams that no landmark has are outside the feature space.
 
 The fit uses a bounded sample of labelled rows: about ``TRAIN_PER_LANGUAGE`` texts of each language, chosen by
-a hash of the id, the first ``LANDMARKS_PER_LANGUAGE`` of them as landmarks, at most ``MAX_LANGUAGES``
-languages. Scoring covers whole texts of all rows and shuffles nothing.
+a hash of the id, the first ``LANDMARKS_PER_LANGUAGE`` of them as landmarks, of the ``MAX_LANGUAGES`` languages
+with most rows (ties by name); rarer ones are not learned. Scoring covers whole texts of all rows and shuffles nothing.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; rows without a language or
 text do not train; with nothing to learn from every text is ``und``; repeated rows get equal results; an
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronlens.llm import grams
+from patronlens.llm.common import unused
 
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MAX_LANGUAGES = 240, 32, 400
 RIDGE, SHARPNESS = 1e-2, 6.0
@@ -68,9 +69,7 @@ def has_letter(text: str | None) -> bool:
 def training_sample(documents: DataFrame, train: Column, label: str, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """doc_id, text, label of about ``per_language`` training rows of each language, by a hash of the id."""
     usable = documents.where(train & F.col(label).isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = usable.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(MAX_LANGUAGES).collect()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = F.lit(False)
     for language, n in sizes:
@@ -170,4 +169,5 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
             blank = [not has_letter(t) for t in series]
             yield pd.DataFrame({"lang_pred": np.where(blank, "und", np.array(best, dtype=object)), "score": np.where(blank, 0.0, np.array(score, dtype=float))})
 
-    return kept.withColumn("_judged", judge("text")).select("*", "_judged.lang_pred", "_judged.score").drop("_judged")
+    (judged,) = unused(kept, "judged")
+    return kept.withColumn(judged, judge("text")).select("*", f"{judged}.lang_pred", f"{judged}.score").drop(judged)

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patronlens.llm.common import unused
 from patronlens.session import cut_lineage
 
 WEIGHTS = (1, 2, 3)
@@ -99,8 +100,8 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float
 
 def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """The mixed corpus: every row of ``documents`` as often as it is copied, columns as they are."""
-    copied = plan(documents, weights, limit).where("copies > 0").select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (size_of(F.col("text")) == F.col("_z"))
-    return documents.join(copied, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*documents.columns)
+    own = unused(documents, "in_doc", "in_source", "in_size", "copies", "copy")
+    copied = plan(documents, weights, limit).where("copies > 0").select("doc_id", "source", "size", "copies").toDF(*own[:4])
+    doc, source, size, copies = (F.col(c) for c in own[:4])
+    same = F.col("doc_id").eqNullSafe(doc) & F.col("source").eqNullSafe(source) & (size_of(F.col("text")) == size)
+    return documents.join(copied, same).withColumn(own[4], F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in documents.columns])

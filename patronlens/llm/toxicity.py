@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronlens.llm.common import unused
+
 SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON = 4000, 8000, 4000
 LEAST_DOCUMENTS, LEAST_WEIGHT = 3, 1.2
 STEM = range(3, 10)
@@ -348,4 +350,5 @@ def score(documents: DataFrame, model: Model | None, threshold: float = THRESHOL
             chance = 1 / (1 + np.exp(-np.clip((x - own.mean) / own.scale @ own.weights[:-1] + own.weights[-1], -30, 30)))
             yield pd.DataFrame({"score": chance, "predicted": (chance >= threshold).astype(np.int32), "n_hits": x[:, 5].astype(np.int32), "strongest": np.expm1(x[:, 0])})
 
-    return kept.withColumn("_judged", judge("text")).select("*", "_judged.*").drop("_judged")
+    (judged,) = unused(kept, "judged")
+    return kept.withColumn(judged, judge("text")).select("*", f"{judged}.*").drop(judged)

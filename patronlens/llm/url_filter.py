@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronlens.llm import bloom
-from patronlens.llm.common import LOWER, UPPER
+from patronlens.llm.common import LOWER, UPPER, unused
 
 MAX_RULES = 500
 RESULTS = ["host", "path", "rule", "listed", "verdict"]
@@ -74,14 +74,15 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url: str =
     """
     host, path = host_and_path(F.col(url))
     rows = pages.drop(*[c for c in RESULTS if c != url]).withColumns({"host": host, "path": path})
-    rows = rows.withColumn("_key", canonical(F.col(url), F.col("host"), F.col("path")))
+    key, name, possible = unused(rows, "key", "name", "possible")
+    rows = rows.withColumn(key, canonical(F.col(url), F.col("host"), F.col("path")))
     own_host, own_path = host_and_path(F.col("url"))
-    names = listed.select(canonical(F.col("url"), own_host, own_path).alias("_name")).where("_name IS NOT NULL").distinct()
-    probed = bloom.probe(rows, "_key", names, "_name", "_possible", max_blocks)
-    hits = probed.where("_possible").join(names, F.col("_key") == F.col("_name"), "left")
-    hits = hits.withColumn("listed", F.col("_name").isNotNull()).drop("_name")
-    others = probed.where("NOT _possible").withColumn("listed", F.lit(False))
-    judged = hits.unionByName(others).drop("_key", "_possible")
+    names = listed.select(canonical(F.col("url"), own_host, own_path).alias(name)).where(F.col(name).isNotNull()).distinct()
+    probed = bloom.probe(rows, key, names, name, possible, max_blocks)
+    hits = probed.where(possible).join(names, F.col(key) == F.col(name), "left")
+    hits = hits.withColumn("listed", F.col(name).isNotNull()).drop(name)
+    others = probed.where(~F.col(possible)).withColumn("listed", F.lit(False))
+    judged = hits.unionByName(others).drop(key, possible)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     fallback = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, fallback)})

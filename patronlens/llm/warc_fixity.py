@@ -3,12 +3,13 @@
 A leaf is the SHA-256 of a record with its offset and length. The records that start in one
 ``RANGE`` of offsets make a node, sixteen neighbouring nodes make the next, up to the archive and the
 collection. Two replicas are compared from the root down, and only below nodes that differ is the
-next level looked at; the leaves of the differing ranges tell which records are changed, missing or
-extra. A node has a bounded number of children, so no task grows with an archive.
+next level looked at. The records of the differing ranges are matched by archive, id and digest, so one that merely stands
+elsewhere because another before it grew is no damage; what is left is changed, missing or
+extra. A node has a bounded number of children, so no task grows with an archive; damaged records of one repeated id meet in one task.
 
 Defined cases: null payloads are empty; null record ids and URLs are allowed, archives and offsets must
-not be null; equal rows of a replica are several equal leaves, and a differing number of them counts as
-changed; two empty replicas differ nowhere; one empty replica makes all records of the other missing or
+not be null; records of a repeated id are paired in order; equal rows of a replica are several equal leaves, and those too many or too few are
+extra or missing; two empty replicas differ nowhere; one empty replica makes all records of the other missing or
 extra. Other columns are not carried.
 """
 
@@ -92,12 +93,44 @@ def below(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     return nodes.join(marks, (F.col("archive") == F.col("_a")) & (F.floor(F.col("range") / F.lit(FAN_OUT)) == F.col("_r")), "left_semi")
 
 
+def records_below(replica: DataFrame, marks: DataFrame) -> DataFrame:
+    """The records that start in one of the marked ranges."""
+    place = F.floor(F.col("offset") / F.lit(RANGE)).cast("long")
+    return replica.join(marks, (F.col("archive") == F.col("_a")) & (place == F.col("_r")), "left_semi")
+
+
+def unmatched(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """What is left of both sides when records of one archive, id, length and digest are taken off against each other, paired by id.
+
+    Records that merely stand at another offset cancel out. The rest of an id (without one, of an offset) is paired in order of offsets.
+    """
+    sides = ours.withColumn("side", F.lit(1)).unionByName(theirs.withColumn("side", F.lit(-1)))
+    at = lambda side: F.min(F.when(F.col("side") == side, F.col("offset")))
+    left = sides.groupBy("archive", "record_id", "length", "digest").agg(F.sum("side").alias("surplus"), at(1).alias("first"), at(-1).alias("second")).where("surplus <> 0")
+    left = left.select(
+        "archive", "record_id", "length", "digest", F.signum("surplus").cast("int").alias("side"), F.when(F.col("surplus") > 0, F.col("first")).otherwise(F.col("second")).alias("offset"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.abs("surplus"))).alias("copy"),
+    )
+    pair = F.coalesce(F.concat(F.lit("id "), F.col("record_id").cast("string")), F.concat(F.lit("at "), F.col("offset").cast("string")))
+    left = left.withColumn("pair", pair)
+    left = cut_lineage(left.withColumn("rank", F.row_number().over(Window.partitionBy("archive", "pair", "side").orderBy("offset", "length", "digest", "copy"))))
+    a, b = left.where("side = 1"), left.where("side = -1")
+    b = b.select(*[F.col(c).alias(f"their_{c}") for c in ("archive", "pair", "rank", "offset", "record_id", "length", "digest")])
+    same = (F.col("archive") == F.col("their_archive")) & (F.col("pair") == F.col("their_pair")) & (F.col("rank") == F.col("their_rank"))
+    found = a.join(b, same, "full_outer")
+    status = F.when(F.col("their_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("changed")
+    return found.select(
+        *[F.coalesce(c, f"their_{c}").alias(c) for c in ("archive", "offset", "record_id")], status.alias("status"), "length", "their_length", "digest", "their_digest",
+    )
+
+
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Records in which two replicas (archive, record_id, offset, length, digest) differ.
 
-    Returns archive, offset, record_id, status (``changed``, ``missing`` in theirs, ``extra`` in theirs) and both lengths and digests.
+    Returns archive, offset (ours, or theirs of an extra record), record_id, status (``changed``, ``missing`` in theirs, ``extra`` in theirs) and both lengths and digests.
     """
-    mine, other = (cut_lineage(leaves(side.select(*RECORDS))) for side in (ours, theirs))
+    ours, theirs = (cut_lineage(side.select(*RECORDS)) for side in (ours, theirs))
+    mine, other = (cut_lineage(leaves(side)) for side in (ours, theirs))
     last = max((r[0] or 0) for side in (mine, other) for r in side.agg(F.max("range")).collect())
     levels = 0
     while FAN_OUT**levels <= last:
@@ -110,12 +143,4 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     for level in range(levels - 1, -1, -1):
         changed = cut_lineage(differing(below(my_tree[level], changed), below(other_tree[level], changed), ["archive", "range"]))
     marks = changed.select(F.col("archive").alias("_a"), F.col("range").alias("_r"))
-    inside = (F.col("archive") == F.col("_a")) & (F.col("range") == F.col("_r"))
-    left = mine.join(marks, inside, "left_semi")
-    right = other.join(marks, inside, "left_semi").select(*[F.col(c).alias(f"_{c}") for c in ("archive", "offset", "hash", "record_id", "length", "digest")])
-    found = left.join(right, (F.col("archive") == F.col("_archive")) & (F.col("offset") == F.col("_offset")), "full_outer").where(~F.col("hash").eqNullSafe(F.col("_hash")))
-    status = F.when(F.col("_hash").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return found.select(
-        F.coalesce("archive", "_archive").alias("archive"), F.coalesce("offset", "_offset").alias("offset"), F.coalesce("record_id", "_record_id").alias("record_id"),
-        status.alias("status"), F.col("length"), F.col("_length").alias("their_length"), F.col("digest"), F.col("_digest").alias("their_digest"),
-    )
+    return unmatched(*(records_below(side, marks) for side in (ours, theirs)))

@@ -349,3 +349,68 @@ def test_graph_walk_finds_what_brute_force_finds():
         got = vector_graph.searched(x.astype(np.float32), both, entries, x.astype(np.float32), 0.85) >= 0.9
         truth = x.astype(np.float32) @ x.astype(np.float32).T >= 0.9
         assert not (got & ~truth).sum() > 2 and got[truth].mean() >= 0.999
+
+
+def test_a_longer_record_damages_no_other(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (40 * i + 5000)) for i in range(50)] + [(None, "u", "v"), (7, "twice", None), (7, "twice", None)], "page_id long, url string, html string")
+    ours = warc_fixity.archived(pages)
+    longer = pages.withColumn("html", F.when(F.col("page_id") == 3, F.concat("html", F.lit("yy"))).otherwise(F.col("html")))
+    got = [(r.record_id, r.status, r.their_length - r.length) for r in warc_fixity.audit(ours, warc_fixity.archived(longer)).collect()]
+    assert got == [(3, "changed", 2)]
+    fewer = warc_fixity.archived(longer.where("coalesce(page_id, 0) <> 20").dropDuplicates())
+    got = sorted((r.record_id, r.status) for r in warc_fixity.audit(ours, fewer).collect())
+    assert got == [(3, "changed"), (7, "missing"), (20, "missing")]
+    assert sorted((r.record_id, r.status) for r in warc_fixity.audit(fewer, ours).collect()) == [(3, "changed"), (7, "extra"), (20, "extra")]
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_decontamination_by_both_joins(spark, odd, most):
+    texts = ["the quick brown", CLEAN, CLEAN, "over the lazy dog near a calm river bank today", "word1 word2 word3 word4", "never found here at all", None, "--"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {}
+    for r in decontamination.hit_documents(odd, items, broadcast_rows=most).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_hit, r.item_ids))
+    whole = (15, 15, ["0", "1", "2", "3"])
+    assert got[1] == [whole, whole] and got[2] == [whole] and got[3] == got[4] == got[5] == [(0, 0, [])]
+    assert sorted(got[None]) == [(0, 0, []), whole] and got[6] == [(30_000, 4 * 43, ["4"])] and got[7] == [(1, 0, [])]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_d", "_h", "_s", "_z", "_copies", "_copy", "copies", "copy", "in_doc", "lost", "_gone", "_rank", "rank", "many_id", "hit_id", "hit_hash", "judged", "_judged", "key", "_key", "name", "possible", "block", "block_of", "w0", "w3"]
+    extra = [F.lit(f"own {n}").alias(n) for n in names]
+    documents = spark.createDataFrame([(1, CLEAN, "a"), (1, CLEAN, "a"), (2, CLEAN, "b"), (3, "alone here", None)], "doc_id long, text string, source string").select("*", *extra)
+    items = spark.createDataFrame([(1, "alone here")], "item_id long, text string")
+    kept = decontamination.drop_contaminated(near_duplicates.deduplicated(documents), items)
+    assert kept.columns == documents.columns and [(r.doc_id, r.lost, r.w0) for r in kept.collect()] == [(1, "own lost", "own w0")]
+    assert mixing.mixture(documents).columns == documents.columns
+    pages = spark.createDataFrame([("http://a.com/x",), (None,)], "url string").select("*", *extra)
+    judged = url_filter.judge(pages, pages.select("url"), []).collect()
+    assert {(r.listed, r.key, r.name, r.possible, r.w3) for r in judged} == {(True, "own key", "own name", "own possible", "own w3"), (False, "own key", "own name", "own possible", "own w3")}
+    assert {r.judged for r in language.predict(documents, language.fit(documents.withColumn("lang", F.col("source")), F.lit(True))).collect()} == {"own judged"}
+
+
+def test_language_scores_equal_plain_kernels(spark):
+    texts = [("en", "the cat sat on the mat"), ("en", "a dog and the bird"), ("de", "der hund und die katze"), ("de", "ein vogel sitzt auf dem dach"), ("fr", "le chat est sur la table")]
+    table = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.fit(table, F.lit(True), landmarks_each=1)
+    folded = lambda t: "".join(c if c.isalpha() else " " for c in t.lower())
+    grams_of = lambda t: {t[i: i + k] for k in (1, 2, 3) for i in range(len(t) - k + 1)}
+    sets = [grams_of(folded(t)) for _, t in texts]
+    order = sorted(range(5), key=lambda i: (texts[i][0], str(i)))
+    marks = [next(i for i in order if texts[i][0] == g) for g in ("de", "en", "fr")]
+    space = set().union(*(sets[i] for i in marks))
+    known = [s & space for s in sets]
+    alike = lambda a, b: len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+    between = np.array([[alike(known[a], known[b]) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(between)
+    root = vectors / np.sqrt(values)
+    features = np.array([[alike(known[a], known[b]) for b in marks] for a in range(5)]) @ root
+    share = np.array([1 / sum(g == h for h, _ in texts) for g, _ in texts])
+    weight = share / share.sum()
+    target = np.array([[1.0 if g == h else -1.0 for h in ("de", "en", "fr")] for g, _ in texts])
+    x, y = features - weight @ features, target - weight @ target
+    w = np.linalg.solve(x.T @ np.diag(weight) @ x + language.RIDGE / 5 * np.eye(x.shape[1]), x.T @ np.diag(weight) @ y)
+    margins = (x @ w + weight @ target) * language.SHARPNESS
+    chance = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+    rows = sorted(language.predict(table, model).collect(), key=lambda r: r.doc_id)
+    assert np.allclose([r.score for r in rows], chance.max(axis=1), atol=1e-4) and [r.lang_pred for r in rows] == [("de", "en", "fr")[i] for i in chance.argmax(axis=1)]
