@@ -138,6 +138,18 @@ def test_density_of_hot_cells_in_slices(spark, monkeypatch):
     assert rows(got, "id", "cluster", "core") == plain_density(data, 0.05, 8, [1.0, 1.0, 1.0])
 
 
+@pytest.mark.parametrize("spread", [0.1, 1.0])
+def test_density_of_many_blocks(spark, monkeypatch, spread):
+    """Blocks of six points: neighbours are counted, clusters joined and border points placed across blocks."""
+    monkeypatch.setattr(density, "BLOCK", 6)
+    monkeypatch.setattr(density, "CHUNK", 40)
+    rng = random.Random(5)
+    data = [(i, *[round(spread * rng.random(), 2) for _ in COLUMNS], rng.choice(["a", "b"]), None) for i in range(300)]
+    data += [(900, 0.0, 0.0, 0.0, "c", None), (901, 1.0, 1.0, 1.0, "c", None)]
+    got = density.density_clusters(mixed_frame(spark, data).drop("cluster"), 0.05, 8, COLUMNS, "cat", "id")
+    assert rows(got, "id", "cluster", "core") == plain_density(data, 0.05, 8, [1.0, 1.0, 1.0])
+
+
 def test_density_of_no_rows_equal_rows_and_wrong_eps(spark):
     empty = mixed_frame(spark, []).drop("cluster")
     assert density.density_clusters(empty, 0.05, 2, COLUMNS, "cat", "id").count() == 0
