@@ -88,6 +88,16 @@ def test_votes_of_few_rows_and_of_none(spark):
     assert vote(equal) == 2
 
 
+def test_votes_in_small_batches_with_distances_next_to_a_half(spark, monkeypatch):
+    """Distances that differ after the ninth digit are equal, and the order of ids decides, however rows are batched."""
+    monkeypatch.setattr(neighbours, "ROWS", 3)
+    known = [(i, x, 0.0, 0.0, "a", i) for i, x in enumerate([0.5 + 4e-12, 0.5, 0.5 + 2e-9, 0.5 + 2e-9 - 1e-12, 0.5 + 4e-9, 0.0, 1.0])]
+    new = [(100 + i, float(i % 2), 0.0, 0.0, "a", None) for i in range(8)]
+    got = neighbours.knn_vote(mixed_frame(spark, new), mixed_frame(spark, known), k=2, numeric=COLUMNS, categorical=["cat"], id_col="id")
+    far = {p[0]: sorted((float(f"{abs(p[1] - q[1]) / 4:.9f}"), q[0]) for q in known)[:2] for p in new}
+    assert rows(got, "id", "cluster") == [(i, min(j for _, j in near)) for i, near in sorted(far.items())]
+
+
 def plain_density(data, eps, least, span):
     near = distances([p[1:5] for p in data], [p[1:5] for p in data], span) <= eps
     core = near.sum(axis=1) >= least
