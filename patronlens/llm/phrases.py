@@ -50,9 +50,13 @@ def windows(documents: DataFrame, part: str = "lang", longest: int = LONGEST) ->
 
 
 def packed(names: list[str]) -> list[Column]:
-    """For the first one, two, ... lead columns one long of equally many hash bits a word, 0 where a window has ended."""
+    """For the first one, two, ... lead columns one long of equally many hash bits a word, 0 where a window has ended.
+
+    The part is hashed with the first word, which all keys hold. Bits are shifted out, which is cheaper than a remainder.
+    """
     bits = 63 // len(names)
-    places = [F.when(F.col(n).isNotNull(), F.pmod(F.xxhash64("part", n), F.lit((1 << bits) - 1)) + 1).otherwise(0) for n in names]
+    hashes = [F.xxhash64("part", names[0]), *[F.xxhash64(n) for n in names[1:]]]
+    places = [F.when(F.col(n).isNotNull(), F.greatest(F.shiftrightunsigned(h, 64 - bits), F.lit(1))).otherwise(0) for n, h in zip(names, hashes)]
     keys = [places[0]]
     for place in places[1:]:
         keys.append(F.shiftleft(keys[-1], bits) + place)
