@@ -27,3 +27,18 @@ def test_mean_score_of_kept_orders_in_one_pass(spark, at):
     base = features.order_base(orders, customers, reviews, payments)
     assert "LeftOuter" not in base._jdf.queryExecution().optimizedPlan().toString()  # joined and written already
     assert rows(base, "order_id", "review_score", "payment_value") == [(1, 1.0, 5.0), (1, 2.0, 5.0), (3, 3.0, None)]
+
+
+def test_whole_histories_move_and_write_their_base_once(spark, at, monkeypatch):
+    written = []
+    monkeypatch.setattr(features, "cut_lineage", lambda df: written.append(df) or df)
+    base = spark.createDataFrame(
+        [(1, 1, at("2020-01-01"), 1.0, 5.0), (1, 2, at("2020-01-01"), 2.0, 6.0), (1, 2, at("2020-01-01"), 4.0, 6.0),
+         (1, 3, at("2020-02-01"), 3.0, 7.0), (2, 4, at("2020-02-03"), None, 8.0), (None, 5, at("2020-02-04"), 5.0, None)],
+        "customer_unique_id long, order_id long, order_purchase_timestamp timestamp_ntz, review_score double, payment_value double",
+    )
+    today = base.agg({"order_purchase_timestamp": "max"}).scalar()
+    every = features.prefixes(base, today).where("orders_count = history_length")
+    got = features.history_dataset(base, today, expand=False, gone_after=None)
+    assert rows(got) == rows(every) and len(rows(got)) == 3 and not written
+    assert "(_i" in got._jdf.queryExecution().optimizedPlan().toString()  # rows inside an hour end before the join
