@@ -12,7 +12,11 @@
    (``PIECE_SHINGLES``, each text counting for ``TEXT_WEIGHT`` more, so that short texts are not too many to compare);
    a larger one is cut along each of the orders into pieces of that size.
 4. In a piece, pairs not yet joined are confirmed exactly, the likeliest first. Linked pairs that
-   join two groups are the only output, fewer than rows; their components are the result.
+   join two groups are the only output, fewer than rows; their components are a first result.
+5. What the bounds of 2 and 3 left uncompared is compared now: texts that share a first hash in an order with
+   more rows of that hash than ``neighbours``, in one that two tasks of the scan share, or with a
+   text of a family that was cut. Of these, all pairs of different components are compared, block by block on
+   signatures, and the likely ones confirmed on full sets. A crowd that is one component costs nothing here.
 
 Defined cases: texts that are null or without words have an empty set and are linked with nothing; a
 text of fewer words than a shingle is one shingle; rows that repeat an id are one node, which has
@@ -112,15 +116,21 @@ def shingle_sets(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, SETS)
 
 
+def _by_tree(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """One row per class and tree, with the tree's first hash."""
+    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    return rows.withColumn("first", F.substring("signature", F.col("tree") * (4 * depth) + 1, 4))
+
+
 def orders(classes: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """One row per class and tree whose first hash another class shares: tree, first, label, and the class's columns.
 
     The label is what the order is sorted by: the tree's hashes in turn, the first in full and the others by two bytes.
     """
     width = 4 * depth
-    parts = [F.substring("signature", F.col("tree") * width + 1, 4)]
+    parts = [F.col("first")]
     parts += [F.substring("signature", F.col("tree") * width + 4 * i + 3, 2) for i in range(1, depth)]
-    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("first", parts[0])
+    rows = _by_tree(classes, trees, depth)
     shared = rows.groupBy("tree", "first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("tree").alias("_t"), F.col("first").alias("_f"))
     rows = rows.join(shared, (F.col("tree") == F.col("_t")) & (F.col("first") == F.col("_f"))).drop("_t", "_f")
     return rows.withColumn("label", F.concat(*parts))
@@ -155,11 +165,12 @@ def likely_pairs(ordered: DataFrame, percent: int, neighbours: int = NEIGHBOURS)
     """Edges (a, b) that join neighbours of the sorted orders whose estimated similarity may reach the threshold.
 
     The stream holds the last ``neighbours`` rows only; a pair that an earlier one implies is left out.
+    Rows whose ``b`` is null name what a task may hold a part of only: ``a`` is the tree and first hash it begins or ends with.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def scan(batches):
-        held_ids = held_first = held_sig = held_n = None
+        held_ids = held_first = held_sig = held_n = begun = None
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -169,6 +180,7 @@ def likely_pairs(ordered: DataFrame, percent: int, neighbours: int = NEIGHBOURS)
                 raw = b"".join(part.column("signature").to_pylist())
                 sig = np.frombuffer(raw, dtype=">u4").reshape(len(ids), -1).astype(np.uint16)
                 n = part.column("n_shingles").to_numpy(zero_copy_only=False)
+                begun = int(first[0]) if begun is None else begun
                 if held_ids is not None:
                     ids, first, sig, n = (np.concatenate(x) for x in ((held_ids, ids), (held_first, first), (held_sig, sig), (held_n, n)))
                 new = 0 if held_ids is None else len(held_ids)
@@ -187,6 +199,8 @@ def likely_pairs(ordered: DataFrame, percent: int, neighbours: int = NEIGHBOURS)
                 held_ids, held_first, held_sig, held_n = ids[keep], first[keep], sig[keep], n[keep]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+        if begun is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([begun, int(held_first[-1])], pa.int64()), pa.nulls(2, pa.int64())], schema=schema)
 
     return ordered.select("tree", "first", "doc_id", "n_shingles", "signature").mapInArrow(scan, "a long, b long")
 
@@ -197,27 +211,35 @@ def in_order(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
 
-def confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int, hashes: int = 128) -> list[tuple[int, int]]:
+def confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int, hashes: int = 128, rest: tuple | None = None) -> list[tuple[int, int]]:
     """Linked pairs that span the components of 100 * intersection >= percent * union among the sets.
 
     Only pairs not joined yet are looked at, by falling estimate and in growing portions, each exactly.
+    ``rest`` has each set's component, block and first hashes of earlier trees: sets of one component are joined
+    already, those of one block of two have their own piece, and those that share an earlier hash are compared there.
     """
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
-    links, known = [], Joined(count)
+    links, label = [], np.arange(count)
+    if rest is not None:
+        groups, blocks, earlier = rest
+        label = np.unique(groups, return_inverse=True)[1]
+        two = blocks.min() != blocks.max()
     if count > 2:
         factors = multipliers(hashes)
         sigs = np.array([signature(s, factors).astype(np.uint16) for s in sets])
         least = least_estimate(percent, hashes) * hashes
     for i in range(1, count):
-        near = np.flatnonzero((100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])) & (ids[:i] != ids[i]))
+        near = np.flatnonzero((100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])) & (ids[:i] != ids[i]) & (label[:i] != label[i]))
+        if rest is not None:
+            near = near[~(earlier[near] == earlier[i]).any(axis=1)]
+            near = near[blocks[near] != blocks[i]] if two else near
         if count > 2 and len(near):
             alike = (sigs[near] == sigs[i]).sum(axis=1)
             near = near[alike >= least][np.argsort(-alike[alike >= least], kind="stable")]
         portion = 4
         while len(near):
-            roots = np.array([known.root(int(j)) for j in near])
-            near = near[roots != known.root(i)]
+            near = near[label[near] != label[i]]
             now, near, portion = near[:portion], near[portion:], min(portion * 4, 1024)
             if not len(now):
                 break
@@ -226,34 +248,44 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int, hashes: int =
             starts = np.concatenate([[0], np.cumsum(sizes[now])[:-1]])
             common = np.add.reduceat((sets[i][at] == joined).astype(np.int64), starts)
             for j in now[100 * common >= percent * (sizes[now] + sizes[i] - common)]:
-                if known.join(i, int(j)):
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
                     links.append((int(ids[i]), int(ids[j])))
     return links
 
 
 def confirmed_links(pieces: DataFrame, percent: int) -> DataFrame:
-    """Exact links (a, b) within each piece; ``pieces`` has piece, doc_id, shingles and a bounded number of shingles a piece."""
+    """Exact links (a, b) within each piece; ``pieces`` has piece, doc_id, shingles and a bounded number of shingles a piece.
+
+    With columns component, block and earlier (of ``rest_pieces``) only what these leave open is compared.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    columns = ["piece", "doc_id", "shingles", *[c for c in ("component", "block", "earlier") if c in pieces.columns]]
 
     def check(batches):
-        current, ids, sets = None, [], []
+        current, ids, sets, more = None, [], [], []
 
         def flush():
-            links = confirm(np.array(ids), sets, percent) if len(ids) > 1 else []
+            rest = None
+            if len(columns) > 3 and more:
+                component, block, earlier = zip(*more)
+                rest = np.array(component), np.array(block), np.frombuffer(b"".join(earlier), dtype=np.uint32).reshape(len(more), -1)
+            links = confirm(np.array(ids), sets, percent, rest=rest) if len(ids) > 1 else []
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=schema)
 
         for batch in batches:
-            for piece, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("piece", "doc_id", "shingles"))):
+            for piece, doc_id, raw, *others in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if piece != current:
                     yield from flush()
-                    current, ids, sets = piece, [], []
+                    current, ids, sets, more = piece, [], [], []
                 ids.append(doc_id)
                 sets.append(np.frombuffer(raw, dtype=np.uint64))
+                more.append(others)
         yield from flush()
 
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pieces.select("piece", "doc_id", "shingles").repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(check, "a long, b long")
+    return pieces.select(*columns).repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(check, "a long, b long")
 
 
 def cut_families(families: DataFrame, classes: DataFrame, trees: int, depth: int, limit: int = PIECE_SHINGLES) -> DataFrame:
@@ -292,8 +324,118 @@ def cut_families(families: DataFrame, classes: DataFrame, trees: int, depth: int
     return small.unionByName(cut)
 
 
+def open_buckets(rows: DataFrame, torn: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``_tree`` and ``_first`` of the first hashes whose texts the scan and the pieces may not all have compared.
+
+    ``rows`` has tree, first, component and ``cut`` (the text's family was cut); ``torn`` has the hashes that two tasks may
+    share. Where all texts are one component nothing is left to find.
+    """
+    counted = rows.groupBy("tree", "first").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("cut").alias("cut")
+    ).where("low <> high")
+    code = F.shiftleft(F.col("tree").cast("long"), 32) + F.conv(F.hex("first"), 16, 10).cast("long")
+    counted = counted.join(torn.select("code", F.lit(True).alias("torn")).distinct(), code == F.col("code"), "left")
+    return counted.where((F.col("n") > neighbours) | F.col("cut") | F.col("torn")).select(F.col("tree").alias("_tree"), F.col("first").alias("_first"))
+
+
+def _blocks(rows: DataFrame, limit: int, most: int) -> DataFrame:
+    """``rows`` in order, with the ``block`` of their bucket: at most ``most`` rows and a weight of at most half of ``limit``."""
+    fields = [("tree", pa.int32()), ("first", pa.binary()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
+              ("component", pa.int64()), ("class", pa.binary()), ("signature", pa.binary())]
+    schema = pa.schema(fields)
+
+    def count_off(batches):
+        bucket, held, weight, block = None, 0, 0, 0
+        for batch in batches:
+            rows = batch.select(["tree", "first", "own", "n_shingles"])
+            names = []
+            for tree, first, own, n in zip(*(c.to_pylist() for c in rows.columns)):
+                if (tree, first, own) != bucket or held == most or weight + n + TEXT_WEIGHT > limit // 2:
+                    bucket, held, weight, block = (tree, first, own), 0, 0, block + 1
+                held, weight = held + 1, weight + n + TEXT_WEIGHT
+                names.append(block)
+            ids = pa.array(np.array(names, dtype=np.int64) | (batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << 40))
+            columns = [ids if f == "block" else batch.column(f) for f, _ in fields]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, (_, t) in zip(columns, fields)], schema=schema)
+
+    ordered = in_order(rows, "tree", "first", "own", "n_shingles", "doc_id").withColumn("part", F.spark_partition_id())
+    kinds = "tree int, first binary, block long, doc_id long, n_shingles long, component long, class binary, signature binary"
+    return ordered.mapInArrow(count_off, kinds)
+
+
+def rest_pieces(rows: DataFrame, wanted: DataFrame, percent: int, depth: int, limit: int = PIECE_SHINGLES, most: int = 1024) -> DataFrame:
+    """piece, doc_id, class, component, block and first hashes of earlier trees (``earlier``) of the texts of likely pairs of different components in the ``wanted`` buckets of ``rows``.
+
+    A bucket's texts are counted off into blocks, those of a large component apart and else by size. Every two blocks
+    that may hold a link are compared on signatures in one task; the texts of its likely pairs are a piece.
+    """
+    rows = rows.join(wanted, (F.col("tree") == F.col("_tree")) & (F.col("first") == F.col("_first"))).drop("_tree", "_first")
+    sizes = rows.groupBy("tree", "first", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most // 2)
+    sizes = sizes.select(F.col("tree").alias("_tree"), F.col("first").alias("_first"), F.col("component").alias("own"))
+    same = (F.col("tree") == F.col("_tree")) & (F.col("first") == F.col("_first")) & (F.col("component") == F.col("own"))
+    rows = cut_lineage(_blocks(rows.join(sizes, same, "left").drop("_tree", "_first"), limit, most))
+    blocks = rows.groupBy("tree", "first", "block").agg(
+        F.min("n_shingles").alias("least"), F.max("n_shingles").alias("largest"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    one, two = (blocks.select("tree", "first", *[F.col(c).alias(f"{c}_{i}") for c in ("block", "least", "largest", "low", "high")]) for i in (1, 2))
+    pairs = one.join(two, ["tree", "first"]).where("block_1 <= block_2").where("least(low_1, low_2) <> greatest(high_1, high_2)")
+    pairs = pairs.where(f"{percent} * greatest(least_1, least_2) <= 100 * least(largest_1, largest_2)")
+    sides = pairs.select("tree", "first", "block_1", "block_2", F.explode(F.array_distinct(F.array("block_1", "block_2"))).alias("block"))
+    held = rows.join(sides, ["tree", "first", "block"]).withColumn("piece", F.concat_ws("|", "tree", F.hex("first"), "block_1", "block_2"))
+    schema = pa.schema([("piece", pa.string()), ("doc_id", pa.int64()), ("class", pa.binary()), ("component", pa.int64()), ("block", pa.int64()), ("earlier", pa.binary())])
+    columns = ["piece", "block", "block_1", "block_2", "tree", "doc_id", "class", "component", "n_shingles", "signature"]
+
+    def likely(piece, members):
+        _, block, first, second, tree, ids, classes, component, n, raw = zip(*members)
+        block, component, n, tree = np.array(block), np.array(component), np.array(n), tree[0]
+        sig = np.frombuffer(b"".join(raw), dtype=">u4").reshape(len(n), -1)
+        low = np.ascontiguousarray(sig.astype(np.uint16).T)
+        a = np.flatnonzero(block == first[0])
+        b = a if first[0] == second[0] else np.flatnonzero(block == second[0])
+        alike = np.zeros((len(a), len(b)), dtype=np.uint16)
+        for column in low:
+            alike += column[a][:, None] == column[b]
+        hit = alike >= least_estimate(percent, len(low)) * len(low)
+        hit &= component[a][:, None] != component[b]
+        hit &= 100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b])
+        x, y = (side[at] for side, at in zip((a, b), np.nonzero(hit)))
+        # A pair that shares an earlier tree's first hash is compared there, or has been by the scan.
+        earlier = sig[:, : tree * depth: depth]
+        fresh = ~(earlier[x] == earlier[y]).any(axis=1)
+        for i in np.unique(np.concatenate([x[fresh], y[fresh]])):
+            yield piece, ids[i], classes[i], int(component[i]), int(block[i]), earlier[i].astype(np.uint32).tobytes()
+
+    def compare(batches):
+        current, members = None, []
+
+        def flush():
+            found = list(likely(current, members)) if members else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if row[0] != current:
+                    yield from flush()
+                    current, members = row[0], []
+                members.append(row)
+        yield from flush()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.select(*columns).repartition(parts, "piece").sortWithinPartitions("piece")
+    return dealt.mapInArrow(compare, "piece string, doc_id long, class binary, component long, block long, earlier binary")
+
+
+def _with_sets(pieces: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
+    """``pieces`` with the full sets of their texts; only these texts are read into sets."""
+    wanted = pieces.select("doc_id").distinct()
+    texts = bloom.probe(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted, "doc_id", "_wanted")
+    sets = shingle_sets(texts.where("_wanted"), shingle).dropDuplicates(["doc_id", "class"])
+    return pieces.join(sets.withColumnsRenamed({"doc_id": "_d", "class": "_c"}), (F.col("doc_id") == F.col("_d")) & (F.col("class") == F.col("_c")))
+
+
 def components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH,
-               piece_shingles: int = PIECE_SHINGLES) -> DataFrame:
+               piece_shingles: int = PIECE_SHINGLES, neighbours: int = NEIGHBOURS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``documents``."""
     rows = cut_lineage(profiles(documents, shingle, trees, depth))
     named = rows.where("doc_id IS NOT NULL AND class IS NOT NULL")
@@ -302,16 +444,23 @@ def components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = named.join(first, (F.col("class") == F.col("_class")) & (F.col("doc_id") == F.col("_head"))).select(*named.columns)
     classes = cut_lineage(classes.dropDuplicates(["class", "doc_id"]))
     ordered = in_order(orders(classes, trees, depth), "tree", "label")
-    families = connected(likely_pairs(ordered, percent))
+    likely = cut_lineage(likely_pairs(ordered, percent, neighbours))
+    families = connected(likely)
     pieces = cut_lineage(cut_families(families, classes, trees, depth, piece_shingles))
-    wanted = pieces.select("doc_id").distinct()
-    texts = bloom.probe(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted, "doc_id", "_wanted")
-    sets = shingle_sets(texts.where("_wanted"), shingle).dropDuplicates(["doc_id", "class"])
-    whole = pieces.join(sets.withColumnsRenamed({"doc_id": "_d", "class": "_c"}), (F.col("doc_id") == F.col("_d")) & (F.col("class") == F.col("_c")))
-    links = cut_lineage(confirmed_links(whole, percent))
+    links = cut_lineage(confirmed_links(_with_sets(pieces, documents, shingle), percent))
     repeated = named.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("doc_id")
     other = named.join(repeated, "doc_id", "left_semi").join(heads, "class").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    joined = connected(links.unionByName(other))
+    links = cut_lineage(links.unionByName(other))
+    joined = connected(links)
+    cut = pieces.where(~F.col("piece").startswith("f|")).select(F.col("doc_id").alias("_cut")).distinct()
+    own = classes.join(joined, F.col("doc_id") == F.col("node"), "left").join(cut, F.col("doc_id") == F.col("_cut"), "left")
+    own = cut_lineage(own.select(*classes.columns, F.coalesce("component", "doc_id").alias("component"), F.col("_cut").isNotNull().alias("cut")))
+    own = _by_tree(own, trees, depth)
+    wanted = cut_lineage(open_buckets(own, likely.where("b IS NULL").select(F.col("a").alias("code")), neighbours))
+    if not wanted.isEmpty():
+        rest = cut_lineage(rest_pieces(own, wanted, percent, depth, piece_shingles))
+        if not rest.isEmpty():
+            joined = connected(links.unionByName(confirmed_links(_with_sets(rest, documents, shingle), percent)))
     placed = heads.join(joined, F.col("head") == F.col("node"), "left").select(F.col("class").alias("_class"), F.coalesce("component", "head").alias("_component"))
     result = rows.join(placed, F.col("class") == F.col("_class"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))

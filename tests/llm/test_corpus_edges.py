@@ -141,6 +141,50 @@ def test_large_families_are_cut_without_losing_links(spark):
     assert whole == cut and set(whole.values()) == {0}
 
 
+def _components_by_brute_force(rows, shingle, percent):
+    sets = {}
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {tuple(words[j: j + shingle]) for j in range(len(words) - shingle + 1)}
+    head = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                low, high = sorted((head[i], head[j]))
+                head = {k: low if h == high else h for k, h in head.items()}
+    return head
+
+
+def _loose_crowd(size):
+    """Texts of one base whose likeness lies on both sides of seventy per cent, so that their family holds several components."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(size):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([5, 6])):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_links_between_pieces_of_a_cut_family_are_found(spark):
+    rows = _loose_crowd(70)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = _components_by_brute_force(rows, 3, 70)
+    assert 1 < len(set(expected.values())) < 70
+    got = {r.doc_id: r.component_id for r in near_duplicates.components(docs, 3, 70, piece_shingles=2_500).collect()}
+    assert got == expected
+
+
+def test_links_beyond_the_nearest_neighbours_are_found(spark):
+    rows = _loose_crowd(70)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = _components_by_brute_force(rows, 3, 70)
+    for options in ({"neighbours": 1}, {"neighbours": 1, "piece_shingles": 2_500}):
+        assert {r.doc_id: r.component_id for r in near_duplicates.components(docs, 3, 70, **options).collect()} == expected
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     rows = mixing.plan(odd).collect()
     assert sum(r.rows for r in rows) == odd.count() and all(0 <= r.copies <= 3 and r.taken == r.size * r.copies for r in rows)
