@@ -395,6 +395,22 @@ def test_graph_walk_finds_what_brute_force_finds():
         assert not (got & ~truth).sum() > 2 and got[truth].mean() >= 0.999
 
 
+def test_one_of_two_cells_reaches_for_the_other():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x = np.concatenate([x, x[:1000] + 0.4 * rng.normal(size=(1000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre, longest = x[:4000:500], math.sqrt(0.2)
+    reach = vector_graph.reaches(x, centre, 0.9)
+    assert (np.maximum(reach, 0) + np.maximum(reach.T, 0) >= longest).all()
+    near, searched = vector_graph.cells_of(x, centre, reach)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert len(a) > 500 and (near[a, 0] != near[b, 0]).sum() > 100
+    assert (searched[a, near[b, 0]] | searched[b, near[a, 0]]).all()
+    # Vectors without structure lie near every border: before, each searched all eight cells.
+    assert searched.sum(axis=1).mean() < 5
+
+
 def test_a_longer_record_damages_no_other(spark):
     pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (40 * i + 5000)) for i in range(50)] + [(None, "u", "v"), (7, "twice", None), (7, "twice", None)], "page_id long, url string, html string")
     ours = warc_fixity.archived(pages)
