@@ -339,28 +339,43 @@ def open_buckets(rows: DataFrame, torn: DataFrame, neighbours: int = NEIGHBOURS)
 
 
 def _blocks(rows: DataFrame, limit: int, most: int) -> DataFrame:
-    """``rows`` in order, with the ``block`` of their bucket: at most ``most`` rows and a weight of at most half of ``limit``."""
-    fields = [("tree", pa.int32()), ("first", pa.binary()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
-              ("component", pa.int64()), ("class", pa.binary()), ("signature", pa.binary())]
+    """``rows`` in order, with the ``block`` of their bucket: at most ``most`` rows and a weight of about half of ``limit``.
+
+    Rows are counted off within each partition, and what the partitions before hold of the same bucket is added from one row per
+    bucket and partition. So blocks are full however finely the rows are partitioned: a row is compared with as many blocks as its bucket fills.
+    """
+    fields = [("part", pa.int32()), ("tree", pa.int32()), ("first", pa.binary()), ("own", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
+              ("component", pa.int64()), ("class", pa.binary()), ("signature", pa.binary()), ("rows_before", pa.int64()), ("weight_before", pa.int64())]
     schema = pa.schema(fields)
 
     def count_off(batches):
-        bucket, held, weight, block = None, 0, 0, 0
+        bucket, held, weight = None, 0, 0
         for batch in batches:
-            rows = batch.select(["tree", "first", "own", "n_shingles"])
-            names = []
-            for tree, first, own, n in zip(*(c.to_pylist() for c in rows.columns)):
-                if (tree, first, own) != bucket or held == most or weight + n + TEXT_WEIGHT > limit // 2:
-                    bucket, held, weight, block = (tree, first, own), 0, 0, block + 1
+            counts, weights = [], []
+            for tree, first, own, n in zip(*(batch.column(c).to_pylist() for c in ("tree", "first", "own", "n_shingles"))):
+                if (tree, first, own) != bucket:
+                    bucket, held, weight = (tree, first, own), 0, 0
+                counts.append(held)
+                weights.append(weight)
                 held, weight = held + 1, weight + n + TEXT_WEIGHT
-                names.append(block)
-            ids = pa.array(np.array(names, dtype=np.int64) | (batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << 40))
-            columns = [ids if f == "block" else batch.column(f) for f, _ in fields]
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, (_, t) in zip(columns, fields)], schema=schema)
+            made = {"rows_before": pa.array(counts, pa.int64()), "weight_before": pa.array(weights, pa.int64())}
+            yield pa.RecordBatch.from_arrays([made[f] if f in made else batch.column(f).cast(t) for f, t in fields], schema=schema)
 
     ordered = in_order(rows, "tree", "first", "own", "n_shingles", "doc_id").withColumn("part", F.spark_partition_id())
-    kinds = "tree int, first binary, block long, doc_id long, n_shingles long, component long, class binary, signature binary"
-    return ordered.mapInArrow(count_off, kinds)
+    kinds = "part int, tree int, first binary, own long, doc_id long, n_shingles long, component long, class binary, signature binary, rows_before long, weight_before long"
+    counted = cut_lineage(ordered.mapInArrow(count_off, kinds))
+    spans = counted.groupBy("tree", "first", "own", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") + TEXT_WEIGHT).alias("weight"))
+    bucket = Window.partitionBy("tree", "first").orderBy("own", "part").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("tree", "first", "own").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+    spans = spans.withColumns({"n_before": earlier("n", same), "w_before": earlier("weight", same), "last": F.lead("part").over(Window.partitionBy("tree", "first", "own").orderBy("part")).isNull()})
+    number = lambda n, weight: F.floor(n / most) + F.floor(weight / (limit // 2))
+    filled = F.when(F.col("last"), number(F.col("n_before") + F.col("n"), F.col("w_before") + F.col("weight")) + 1).otherwise(0)
+    spans = spans.withColumn("filled", filled).withColumn("begin", earlier("filled", bucket)).select(
+        *[F.col(c).alias(f"_{c}") for c in ("tree", "first", "own", "part")], "n_before", "w_before", "begin")
+    held = counted.join(spans, (F.col("tree") == F.col("_tree")) & (F.col("first") == F.col("_first")) & F.col("own").eqNullSafe(F.col("_own")) & (F.col("part") == F.col("_part")))
+    block = F.col("begin") + number(F.col("n_before") + F.col("rows_before"), F.col("w_before") + F.col("weight_before"))
+    return held.select("tree", "first", block.cast("long").alias("block"), "doc_id", "n_shingles", "component", "class", "signature")
 
 
 def rest_pieces(rows: DataFrame, wanted: DataFrame, percent: int, depth: int, limit: int = PIECE_SHINGLES, most: int = 1024) -> DataFrame:

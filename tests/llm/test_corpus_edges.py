@@ -395,6 +395,27 @@ def test_graph_walk_finds_what_brute_force_finds():
         assert not (got & ~truth).sum() > 2 and got[truth].mean() >= 0.999
 
 
+def test_blocks_are_full_however_finely_a_bucket_is_partitioned(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(t, bytes([t]), own, i, 40 + i % 7, own or i, b"c", b"s") for t in (0, 1) for i, own in [*((i, None) for i in range(2000)), *((i, 9999) for i in range(2000, 2600))]]
+    rows.append((1, b"x", None, 9000, 40_000, 9000, b"c", b"s"))
+    table = spark.createDataFrame(rows, "tree int, first binary, own long, doc_id long, n_shingles long, component long, class binary, signature binary")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = near_duplicates._blocks(table, near_duplicates.PIECE_SHINGLES, 1024).toPandas()
+        light = near_duplicates._blocks(table, 200_000, 1024).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(light) == len(rows) and got["doc_id"].nunique() == 2601
+    for found in (got, light):
+        assert (found.assign(own=found["component"].where(found["component"] == 9999, -1)).groupby(["tree", "first", "block"])["own"].nunique() == 1).all()
+    # Blocks ended with their partition before, so there were as many as partitions.
+    sizes = got.groupby(["tree", "first", "block"]).size()
+    assert sizes.max() <= 1024 and len(sizes) <= 2 * 5 + 1
+    weights = light.assign(weight=light["n_shingles"] + near_duplicates.TEXT_WEIGHT).groupby(["tree", "first", "block"])["weight"].sum()
+    assert (weights.drop(index=(1, b"x", 0)) <= 100_000 + 1046).all()
+
+
 def test_one_of_two_cells_reaches_for_the_other():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(4000, 64))
